@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import jaccard_join, langid, quality, toxicity
+from pagelode.llm import html_blocks, jaccard_join, langid, packing, quality, sentencepiece_wfst, tiff, token_counts, token_parquet, toxicity
+from pagelode.llm.shared import shared_folder
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +22,14 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_wfst.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.payload_digests(tiff.text_pictures(_read(spark, sf_dir, "documents")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~held_out()))
@@ -35,6 +46,21 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return packing.pack(docs.select("doc_id", packing.word_count().alias("n_tokens")))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_parquet.write_tokens(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_parquet.with_crc32(token_parquet.read_tokens(spark, path))
+
+
 #: Categories of the chain, in its order, over the columns of `labels`.
 TOXICITY = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
@@ -45,12 +71,23 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, chain).drop("text")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return html_blocks.extract(pages, html_blocks.fit(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_language_id, op4_quality_rules, op5_jaccard_join, op9_toxicity)
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_tiff, op3_language_id, op4_quality_rules, op5_jaccard_join,
+        op6_packing, op7_token_counts, op8_token_parquet, op9_toxicity, op10_html_extraction,
+    )
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+_PLAIN_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
 ORACLES: dict[str, str] = {
     "op5_jaccard_join": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -68,4 +105,5 @@ c AS (SELECT x AS rep, min(y) AS component FROM r GROUP BY x)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.component, s.doc_id) AS component_id
 FROM s LEFT JOIN reps ON list_sort(s.s) = reps.s LEFT JOIN c USING (rep)
 """,
+    "op6_packing": packing.oracle(_PLAIN_WORDS),
 }

@@ -3,9 +3,10 @@ hashes without a Python loop over words, bounded chunks, and tables in the share
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_one_task(rows: DataFrame, fit: Callable[[pa.Table], object]):
+    """What fit makes of all rows (a bounded sample) in a task of their own; it comes back pickled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield pa.record_batch({"made": pa.array([pickle.dumps(fit(pa.Table.from_batches(held)))], pa.binary())})
+
+    made = rows.repartition(1).mapInArrow(run, "made binary").collect()
+    return pickle.loads(made[0]["made"]) if made else None
+
+
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row range, bytes and offsets (from 0) of consecutive rows with at most so many bytes, or of one longer row.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.shared import chunks, mixed, runs, prepare, string_column, word_hashes
+from pagelode.llm.shared import chunks, in_one_task, mixed, runs, prepare, string_column, word_hashes
 
 #: The largest number of labelled rows that the chain is fitted on.
 SAMPLE = 6000
@@ -176,12 +176,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample:
     known = labels.select("doc_id", *(F.expr(c).cast("double").alias(f"_{k}") for k, c in enumerate(categories.values())))
     known = known.na.drop().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most `sample` rows of a few numbers: broadcast, so that no text is shuffled to find them.
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    if not len(rows):
-        return ToxicityChain(list(categories), np.zeros(0, np.uint64), [np.append(np.zeros(k), -40.0) for k in range(len(categories))])
-    y = np.stack([rows[f"_{k}"].to_numpy() for k in range(len(categories))], 1)
-    return ToxicityChain.fit(rows["text"].combine_chunks(), y, list(categories))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    names = list(categories)
+
+    def run(table: pa.Table) -> ToxicityChain:
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        y = np.stack([table[f"_{k}"].to_numpy() for k in range(len(names))], 1)
+        return ToxicityChain.fit(table["text"].combine_chunks(), y, names)
+
+    return in_one_task(rows, run) or ToxicityChain(names, np.zeros(0, np.uint64), [np.append(np.zeros(k), -40.0) for k in range(len(names))])
 
 
 def score(docs: DataFrame, chain: ToxicityChain, text: str = "text", threshold: float | None = None) -> DataFrame:
