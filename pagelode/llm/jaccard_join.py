@@ -42,7 +42,7 @@ WIDTH = 3
 #: Sizes in [CLASS**c, CLASS**(c+1)) share a number of parts.
 CLASS = 1.5
 #: Shingles in one block, about.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 #: Classes of a cluster that every block of it receives.
 PIVOTS = 8
 
