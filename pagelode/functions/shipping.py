@@ -9,9 +9,9 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Adds the package as a zip to the session's Python files, once for each SparkContext."""
-    context = spark.sparkContext
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Adds the package as a zip to the (active) session's Python files, once for each SparkContext."""
+    context = (spark or SparkSession.active()).sparkContext
     if getattr(context, "_pagelode_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
