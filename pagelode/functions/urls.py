@@ -97,12 +97,13 @@ def _mapped(f: Callable, *columns: Column) -> Column:
     """A Python function of strings over Arrow batches."""
     ship_package()
 
-    def run(*parts: pd.Series) -> pd.Series:
-        return pd.Series([f(*x) for x in zip(*parts, strict=True)], dtype=object)
+    def one(a: pd.Series) -> pd.Series:
+        return pd.Series([f(x) for x in a], dtype=object)
 
-    one = lambda a: run(a)
-    two = lambda a, b: run(a, b)
-    return F.pandas_udf(one if len(columns) == 1 else two, "string", F.PandasUDFType.SCALAR)(*columns)
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([f(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return F.pandas_udf(one if len(columns) == 1 else two, "string")(*columns)
 
 
 def exact_normal(u: Column) -> Column:

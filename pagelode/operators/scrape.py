@@ -25,10 +25,11 @@ def _same_base(a: Column, b: Column) -> Column:
     return base(a) == base(b)
 
 
-def scrape(fetches: DataFrame, previous: DataFrame | None = None, fallback: Parser | None = None) -> DataFrame:
+def scrape(fetches: DataFrame, previous: DataFrame | None = None, fallback: Parser | None = None, only: list[str] | None = None) -> DataFrame:
     """One row for each fetch (url, content and the OPTIONAL columns): provider, verdict, error, fetch_ok, content_hash, changed, jobs.
 
     previous: url and content_hash of the last snapshot. fallback: the parser of pages without a provider of ours.
+    only: the providers that may occur, where they are known.
     Exits, in order: robots, not modified, rejected page, failed fetch of a known provider, failed fetch without jobs, success."""
     rows = fetches
     for name, kind in OPTIONAL.items():
@@ -43,7 +44,7 @@ def scrape(fetches: DataFrame, previous: DataFrame | None = None, fallback: Pars
     sparse = F.char_length(strip_tags(F.coalesce(c("content"), F.lit("")), " ")) < rules.SPARSE_TEXT
     rows = rows.withColumn("used_ocr", sparse & (c("provider") == UNKNOWN) & c("ocr_text").isNotNull())
     rows = rows.withColumn("_body", F.when(c("used_ocr"), c("ocr_text")).otherwise(c("final_content")))
-    rows = listings_by_provider(rows, content="_body", fallback=fallback)
+    rows = listings_by_provider(rows, content="_body", fallback=fallback, only=only)
     if fallback is not None:
         # Pages of scripts: what a browser rendered replaces few or no jobs, if it yields any.
         again = F.when((c("provider") == UNKNOWN) & c("rendered_html").isNotNull() & (~ok | (F.trim(F.coalesce(c("content"), F.lit(""))) == "") | (F.size("jobs") < 5)), fallback(c("rendered_html"), c("url")))
