@@ -49,9 +49,11 @@ class Recent:
 
 
 #: Pre-tokens that a worker keeps.
-KEPT = 400_000
-#: Blanks that any tokenizer of this kind splits at; what lies between them is a pre-token here.
+KEPT = 800_000
+#: Blanks that any tokenizer of this kind splits at; what lies between them is a pre-token here. str.split() knows the same ones
+#: and four controls more.
 _BLANKS = re.compile("[ \n\t\r]+")
+_CONTROLS = "\x1c\x1d\x1e\x1f"
 
 _encoders: dict[str, PretokenEncoder] = {}
 
@@ -89,43 +91,47 @@ class PretokenEncoder:
 
     @staticmethod
     def pretokens(text: str) -> list[str]:
-        return [x for x in _BLANKS.split(text) if x]
+        if any(c in text for c in _CONTROLS):
+            return [x for x in _BLANKS.split(text) if x]
+        return text.split()
 
     def _ids(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _packs(self, parts: list[str]) -> list[bytes]:
-        """Packed ids. Words of ASCII letters, with or without a final stop or comma, share their lower-case form's ids and
-        go through the library as one text, whose ids are parted behind each word end."""
+        """Packed ids. Words of ASCII letters, with or without a final stop or comma, share their lower-case form's ids, which
+        the cache may hold; unknown forms go through the library as one text, whose ids are parted behind each word end."""
         code = "H" if self.narrow else "I"
-        base: dict[str, bytes] = {}
+        known = self.packed
+        forms: list[str | None] = []
+        base: dict[str, bytes | None] = {}
         rest: dict[str, bytes] = {}
         for p in parts:
             word = p[:-1] if p[-1] in ".," else p
-            (base if word.isascii() and word.isalpha() else rest)[word.lower() if word.isascii() and word.isalpha() else p] = b""
-        if base and self.ends is not None:
-            ids = self._ids([" ".join(base)])[0]
-            flat = np.array(ids, "<u2" if self.narrow else "<u4")
+            if self.ends is not None and word.isascii() and word.isalpha():
+                word = word.lower()
+                forms.append(word)
+                if word not in base:
+                    base[word] = known.new.get(word) or known.old.get(word)
+            else:
+                forms.append(None)
+                rest[p] = b""
+        todo = [w for w, ids in base.items() if ids is None]
+        if todo:
+            flat = np.array(self._ids([" ".join(todo)])[0], "<u2" if self.narrow else "<u4")
             cuts = (np.flatnonzero(self.ends[flat]) + 1).tolist()
-            if len(cuts) == len(base) and cuts[-1] == len(flat):
-                raw, size, at = flat.tobytes(), flat.itemsize, 0
-                for word, cut in zip(base, cuts, strict=True):
-                    base[word] = raw[at:cut * size]
-                    at = cut * size
+            if len(cuts) != len(todo) or cuts[-1] != len(flat):
+                made = [struct.pack(f"<{len(i)}{code}", *i) for i in self._ids(todo)]
             else:
-                rest |= base
-        else:
-            rest |= base
-        todo = [k for k in rest if not rest[k]]
-        rest.update(zip(todo, (struct.pack(f"<{len(i)}{code}", *i) for i in self._ids(todo)), strict=True))
-        out = []
-        for p in parts:
-            found = rest.get(p)
-            if found is None:
-                word = p[:-1] if p[-1] in ".," else p
-                found = (base.get(word.lower()) or rest[word.lower()]) + (self.marks[p[-1]] if word is not p else b"")
-            out.append(found)
-        return out
+                raw, size = flat.tobytes(), flat.itemsize
+                made = [raw[a * size : b * size] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+            for word, ids in zip(todo, made, strict=True):
+                base[word] = ids
+                known.put(word, ids)
+        if rest:
+            rest.update(zip(rest, (struct.pack(f"<{len(i)}{code}", *i) for i in self._ids(list(rest))), strict=True))
+        marks = self.marks
+        return [rest[p] if w is None else base[w] if len(w) == len(p) else base[w] + marks[p[-1]] for p, w in zip(parts, forms, strict=True)]
 
     def _count(self, parts: list[str]) -> list[int]:
         size = 2 if self.narrow else 4
@@ -136,6 +142,26 @@ class PretokenEncoder:
         """Whether an id fits 16 bits."""
         return self.tokenizer.get_vocab_size() <= 1 << 16
 
+    def pack_texts(self, texts: list[str | None], together: int = 100_000) -> list[bytes]:
+        """The ids of each text; pre-tokens of many texts are looked up together."""
+        out: list[bytes] = []
+        held: list[str] = []
+        ends = [0]
+
+        def flush() -> None:
+            packed = self.pack_all(held)
+            out.extend(b"".join(packed[a:b]) for a, b in zip(ends, ends[1:], strict=False))
+            held.clear()
+            ends[1:] = []
+
+        for x in texts:
+            held += self.pretokens(x or "")
+            ends.append(len(held))
+            if len(held) >= together:
+                flush()
+        flush()
+        return out
+
     def count_all(self, parts: list[str]) -> list[int]:
         """Pieces of each pre-token; each distinct one is counted once while the cache holds it."""
         return self.counts.all(parts, self._count)

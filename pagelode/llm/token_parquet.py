@@ -52,7 +52,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID, text: str =
         end = np.array([end_id], kind).tobytes()
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            packed = [b"".join(encoder.pack_all(encoder.pretokens(x.as_py() or ""))) + end for x in string_column(batch, "text")]
+            packed = [p + end for p in encoder.pack_texts(string_column(batch, "text").to_pylist())]
             n = np.array([len(p) for p in packed], np.int64) // np.dtype(kind).itemsize
             ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
             ids = np.frombuffer(b"".join(packed), kind).astype(np.int32)
