@@ -94,11 +94,11 @@ def _by_url() -> Column:
     return provider_of_url(F.col("url"))
 
 
-def scrape_batch(inputs: DataFrame, fetches: DataFrame, previous: DataFrame | None = None, fallback: Parser | None = None) -> DataFrame:
+def scrape_batch(inputs: DataFrame, fetches: DataFrame, previous: DataFrame | None = None, fallback: Parser | None = None, only: list[str] | None = None) -> DataFrame:
     """One outcome for each input row (ord, url): each group's representative is scraped, and its outcome fans out."""
     grouped = batch_groups(inputs)
     work = fetches.join(grouped.select(F.col("representative").alias("url")).distinct(), "url", "left_semi")
-    found = scrape(work, previous, fallback).withColumnRenamed("url", "representative")
+    found = scrape(work, previous, fallback, only).withColumnRenamed("url", "representative")
     return grouped.select("ord", "url", "group_key", "representative").join(found, "representative", "left")
 
 
