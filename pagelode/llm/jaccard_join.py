@@ -12,9 +12,9 @@ pigeonhole signature has brought together.
 3. Classes that meet (directly or through others) form a cluster: a superset of a component.
 4. A cluster is dealt by hash into blocks of bounded size, which also receive the cluster's few pivots.
    DivideSkip finds the links in each block, which yields a spanning forest of it.
-5. In clusters with more than one block, signatures whose classes are in several components so far are looked at again: every
-   class outside a signature's largest component is searched among all its classes (in blocks). A link between two components
-   shares a signature and has an end there, so none is lost.
+5. In clusters with more than one block, the classes that share signatures of one smallest class are looked at again if they
+   are in several components so far: every class outside their largest component is searched among all of them (in blocks). A
+   link between two components has both ends among such classes and one that is searched, so none is lost.
 6. Components of the links found give the component of each class, and so of each document.
 
 No pairs of a group are listed, no group is collected into one task beyond a block, and nothing is
@@ -304,7 +304,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, block: int = BLO
     reps = saved(reps, "reps")
     signs = facts.select(F.col("doc_id").alias("rep"), *sets, "sigs").join(reps, ["rep", *sets]).select("rep", F.explode("sigs").alias("sig"))
     lead = signs.groupBy("sig").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("sig", "lead")
-    meets = signs.join(lead, "sig").where("rep <> lead").select("lead", "rep").distinct()
+    meets = saved(signs.join(lead, "sig").where("rep <> lead").select("lead", "rep").distinct(), "meets")
     clusters = components(meets, "lead", "rep").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
 
     members = clusters.join(reps.groupBy("rep").agg(F.sum("n_shingles").alias("n")), "rep")
@@ -321,15 +321,16 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, block: int = BLO
 
     if not wide.isEmpty():
         wide = saved(wide.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "wide")
-        # Only those that share a signature with another component matter: such signatures' classes are searched, each set of
-        # classes once.
-        signed = signs.join(wide.select("rep", "n", "component"), "rep")
-        apart = signed.groupBy("sig").agg(
+        # Classes that share a signature have its smallest class in common: those that meet one such class are searched together,
+        # if they lie in several components, and each set of classes once.
+        stars = meets.union(meets.select("lead", "lead")).distinct()
+        signed = stars.join(wide.select("rep", "n", "component"), "rep")
+        apart = signed.groupBy("lead").agg(
             F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("h1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("h2"),
             F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum("n") / block).cast("int").alias("blocks"),
         )
-        once = apart.where("low < high").groupBy("c", "h1", "h2").agg(F.min("sig").alias("sig"), F.first("blocks").alias("blocks"))
-        wide = saved(signed.join(once.select("sig", "blocks"), "sig").withColumnRenamed("sig", "cluster"), "apart")
+        once = apart.where("low < high").groupBy("c", "h1", "h2").agg(F.min("lead").alias("lead"), F.first("blocks").alias("blocks"))
+        wide = saved(signed.join(once.select("lead", "blocks"), "lead").withColumnRenamed("lead", "cluster"), "apart")
         largest = wide.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
         rest = wide.join(largest, "cluster").where("component <> largest")
         # The queries, too, are dealt into blocks: one block of queries meets one of records.
