@@ -28,9 +28,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SHARE)).select(*docs.columns)
 
 
-def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each component; rows of one doc_id are one document."""
-    first = jaccard_join.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+def keep_one_of_each_group(
+    spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = jaccard_join.WIDTH, percent: int = jaccard_join.PERCENT
+) -> DataFrame:
+    """The document of the smallest doc_id of each component; rows of one doc_id are one document.
+
+    STAGES runs it with op5's three words and 90 percent; near copies that these tell apart need width=5, percent=80."""
+    first = jaccard_join.jaccard_components(docs, percent=percent, width=width).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
 

@@ -1,4 +1,5 @@
-"""N-gram Jaccard join: documents whose sets of word shingles have a Jaccard similarity of at least 0.9.
+"""N-gram Jaccard join: documents whose sets of word shingles (of WIDTH words) have a Jaccard similarity of at least 0.9;
+callers may ask for another width or percentage.
 
 Method: T-occurrence search with DivideSkip (heap-merge the short inverted lists, binary-probe the
 long ones, keep documents that reach the required overlap), run inside blocks that an exact
@@ -222,10 +223,10 @@ def _windows(lo: int, i: int, hi: int) -> Iterator[tuple[int, int]]:
         step *= 2
 
 
-def _facts(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _facts(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, first, second, signs = [], [], [], []
-        for s in shingle_sets(string_column(batch, "text")):
+        for s in shingle_sets(string_column(batch, "text"), width):
             sizes.append(len(s))
             first.append(int(np.sum(mixed(s + _A), dtype=np.uint64).view(np.int64)))
             second.append(int(np.sum(mixed(s ^ _C) * (s | np.uint64(1)), dtype=np.uint64).view(np.int64)))
@@ -271,7 +272,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         label = new
 
 
-def _block_links(percent: int):
+def _block_links(percent: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         asks: list[bool] = []
@@ -279,24 +280,24 @@ def _block_links(percent: int):
         for batch in batches:
             ids += string_column(batch, "rep").to_pylist()
             asks += string_column(batch, "asks").to_pylist()
-            sets += shingle_sets(string_column(batch, "text"))
+            sets += shingle_sets(string_column(batch, "text"), width)
         found = links(ids, sets, asks, percent)
         yield pa.record_batch({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run
 
 
-def _search(work: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _search(work: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """Links (a, b) found in each block of work (rep, cluster, block, ask, asks)."""
-    return work.join(texts, "rep").groupBy("cluster", "block", "ask").applyInArrow(_block_links(percent), "a long, b long")
+    return work.join(texts, "rep").groupBy("cluster", "block", "ask").applyInArrow(_block_links(percent, width), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of docs."""
     prepare(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     facts = saved(
-        slim.mapInArrow(lambda it: _facts(it, percent), "doc_id long, n_shingles long, fp1 long, fp2 long, sigs array<long>"), "facts"
+        slim.mapInArrow(lambda it: _facts(it, percent, width), "doc_id long, n_shingles long, fp1 long, fp2 long, sigs array<long>"), "facts"
     )
     # One class for each distinct set; its smallest doc_id stands for it.
     sets = ["fp1", "fp2", "n_shingles"]
@@ -316,7 +317,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, block: int = BLO
     wide = members.where("blocks > 1")
     pivots = wide.groupBy("cluster", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("p")).agg(F.min("rep").alias("rep"), F.first("blocks").alias("blocks"))
     first = members.select("rep", "cluster", home).union(pivots.select("rep", "cluster", F.explode(every))).distinct()
-    found = saved(_search(first.select("*", F.lit(0).alias("ask"), F.lit(True).alias("asks")), texts, percent), "links")
+    found = saved(_search(first.select("*", F.lit(0).alias("ask"), F.lit(True).alias("asks")), texts, percent, width), "links")
     joined = components(found, "a", "b").select(F.col("node").alias("rep"), "component")
 
     if not wide.isEmpty():
@@ -340,7 +341,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, block: int = BLO
         )
         records = wide.join(asked, "cluster").select("rep", "cluster", home, F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("ask"), F.lit(False).alias("asks"))
         second = queries.union(records).groupBy("rep", "cluster", "block", "ask").agg(F.max("asks").alias("asks"))
-        more = saved(_search(second, texts, percent), "links")
+        more = saved(_search(second, texts, percent, width), "links")
         joined = components(found.union(more), "a", "b").select(F.col("node").alias("rep"), "component")
 
     known = reps.join(joined, "rep", "left").select(*sets, F.coalesce("component", "rep").alias("component"))

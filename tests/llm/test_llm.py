@@ -344,6 +344,54 @@ def test_components_equal_brute_force(spark, near, block):
     assert got == brute_components(near)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 5000), st.integers(0, 1300))
+def test_linked_sizes_share_a_class_at_80(a, more):
+    b = min(a + more, a * 100 // 80)
+    shared = set(jaccard_join._classes(a, 80)) & set(jaccard_join._classes(b, 80))
+    assert any(parts > 20 * (a + b) // 180 for _, parts in shared)
+
+
+def shingles_of(text, width):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+
+
+def linked_pairs(rows, width, percent):
+    sets = [shingles_of(t, width) for _, t in rows]
+    return [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+
+
+@pytest.fixture(scope="module")
+def near_five(near):
+    base = [f"u{i}" for i in range(345)]
+    rows = [t for _, t in near]
+    rows += [" ".join(base[:50]), " ".join(base[:20] + ["other"] + base[21:50])]  # 0.804 on five words, 0.882 on three
+    rows += [" ".join(base[45:]), " ".join(base[45:200] + base[:45] + base[200:])]  # 45 words put into 300
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("block", [jaccard_join.BLOCK, 150])
+def test_five_words_and_80_percent_equal_brute_force(spark, near_five, block):
+    root = {i: i for i, _ in near_five}
+    pairs = linked_pairs(near_five, 5, 80)
+    assert len(pairs) > len(linked_pairs(near_five[:-4], 5, 80))
+    for i, j in pairs:
+        p, q = sorted((root[i], root[j]))
+        root = {k: p if v == q else v for k, v in root.items()}
+    got = jaccard_join.jaccard_components(spark.createDataFrame(near_five, "doc_id long, text string"), percent=80, block=block, width=5).collect()
+    assert sorted(map(tuple, got)) == [(i, len(shingles_of(t, 5)), root[i]) for i, t in near_five]
+
+
+def test_stage_takes_five_words_and_80_percent(spark, near_five):
+    import corpus_pipeline as cp
+
+    few = spark.createDataFrame(near_five[-4:], "doc_id long, text string")
+    first = near_five[-4][0]
+    assert sorted(r.doc_id for r in cp.keep_one_of_each_group(spark, few, "", width=5, percent=80).collect()) == [first, first + 2]
+    assert cp.keep_one_of_each_group(spark, few, "").count() == 4
+
+
 def test_join_edges(spark, edges, nothing):
     got = jaccard_join.jaccard_components(edges).collect()
     assert len(got) == len(ROWS)
