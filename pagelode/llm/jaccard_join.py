@@ -1,25 +1,27 @@
 """N-gram Jaccard join: documents whose sets of word shingles (of WIDTH words) have a Jaccard similarity of at least 0.9;
 callers may ask for another width or percentage.
 
-Method: T-occurrence search with DivideSkip (heap-merge the short inverted lists, binary-probe the
-long ones, keep documents that reach the required overlap), run inside blocks that an exact
-pigeonhole signature has brought together.
+Method: T-occurrence search with DivideSkip (merge the short inverted lists, binary-probe the long ones, keep documents that
+reach the required overlap), run inside groups that an exact pigeonhole signature has brought together. The short lists are
+merged by counting each record's occurrences in numpy; divide_skip() is the plain form with a heap, to which tests hold it.
 
-1. Documents of equal sets form one class; only its smallest doc_id goes on.
+1. Documents of equal sets form one class, known by a 64-bit hash of its set (node); one of its texts goes on.
 2. A class emits signatures: its shingles are dealt by hash into k parts, and each part is one
    signature. Two sets of similarity t differ in at most (1-t)/(1+t) * (a+b) shingles, and k is above
    that number, so linked sets share a whole part. Signatures of unlike documents hardly ever meet,
    whatever lines, passages or words they share.
-3. Classes that meet (directly or through others) form a cluster: a superset of a component.
-4. A cluster is dealt by hash into blocks of bounded size, which also receive the cluster's few pivots.
-   DivideSkip finds the links in each block, which yields a spanning forest of it.
-5. In clusters with more than one block, the classes that share signatures of one smallest class are looked at again if they
-   are in several components so far: every class outside their largest component is searched among all of them (in blocks). A
-   link between two components has both ends among such classes and one that is searched, so none is lost.
-6. Components of the links found give the component of each class, and so of each document.
+3. The classes of a signature meet at its smallest class, their lead; all that meet at one lead are a star. Linked classes are in
+   a star together. A star that lies inside another one of a smaller lead is left out.
+4. A star above the size of a block is dealt by hash into parts, and each two parts meet in one cell. DivideSkip finds all links of
+   a cell. Classes that are in several stars together are compared at the smallest lead they share, so each link counts once.
+5. A cell returns a row for each class: its links, weighted by the number of documents of the class at the other end, and the class
+   that stands for its component within the cell. Components of these give the component of each class, and so of each document.
 
-No pairs of a group are listed, no group is collected into one task beyond a block, and nothing is
-dropped or capped. Shingles are compared by 64-bit hash.
+No pairs are listed, no group is collected into one task beyond two parts of a star, and nothing is dropped or capped; all links
+of a group of n alike classes take n (n - 1) / 2 comparisons. Shingles are compared by 64-bit hash.
+
+Links join two (document, set) pairs of different sets or documents: n_links of a row counts the others of its own class and those
+of each class linked with it. It is null for a null doc_id; rows of one doc_id and one set are one document.
 
 Defined cases: null, empty or wordless texts have an empty set and are linked with nothing; a null
 doc_id is a document of its own id null; repeated rows keep one output row each; other columns are ignored.
@@ -43,10 +45,8 @@ PERCENT = 90
 WIDTH = 3
 #: Sizes in [CLASS**c, CLASS**(c+1)) share a number of parts.
 CLASS = 1.5
-#: Shingles in one block, about.
-BLOCK = 1 << 21
-#: Classes of a cluster that every block of it receives.
-PIVOTS = 8
+#: Shingles in one part of a star, about.
+BLOCK = 1 << 19
 
 _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
@@ -162,65 +162,94 @@ def divide_skip(index: dict[int, list[int]], query: list[int], least: int, mu: f
     return found
 
 
-def links(ids: list[int], sets: list[np.ndarray], asks: list[bool], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links between those that ask and all others of one block.
-
-    Records that the query is joined with already add nothing: ranges of only such ones aren't searched."""
-    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    sizes = np.array([len(sets[i]) for i in order])
-    flat = np.concatenate([sets[i] for i in order]) if order else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(order)), sizes)
-    by = np.argsort(flat, kind="stable")
-    values, at = np.unique(flat[by], return_index=True)
-    at = np.append(at, len(flat))
-    shared = np.diff(at) > 1  # a list of one holds only the query itself
-    code = np.searchsorted(values, flat)
-    lists: dict[int, list[int]] = {int(v): owner[by[at[v] : at[v + 1]]].tolist() for v in np.flatnonzero(shared)}
-    own = np.concatenate(([0], np.cumsum(sizes)))
-    root = list(range(len(order)))
-    asks_all = all(asks)  # then each pair is met at its later record
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    edges = []
-    for i in range(len(order)):
-        if not asks[order[i]]:
+class Lists:
+    """Inverted lists over records in order of size: `owner` holds them one after the other, each ascending."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.n = len(sets)
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.own = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.sizes)))
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        by = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(self.n), self.sizes)[by]
+        values, first = np.unique(flat[by], return_index=True)
+        code = np.repeat(np.arange(len(values)), np.diff(np.append(first, len(flat))))
+        #: Where each shingle of each record lies in `owner`, and where its list begins.
+        self.place = np.empty(len(flat), np.int64)
+        self.place[by] = np.arange(len(flat))
+        self.start = np.empty(len(flat), np.int64)
+        self.start[by] = first[code] if len(flat) else 0
+        #: (list, record) as one sorted number for binary probes.
+        self.keys = code * max(self.n, 1) + self.owner
+        self.code = np.empty(len(flat), np.int64)
+        self.code[by] = code
+
+    def before(self, i: int, lo: int, least: int, mu: float = 0.0085) -> tuple[np.ndarray, np.ndarray]:
+        """The records in [lo, i) on at least `least` of record i's lists, with their number of occurrences."""
+        none = np.zeros(0, np.int64)
+        a, b = self.own[i], self.own[i + 1]
+        length = self.place[a:b] - self.start[a:b]  # of each list, up to record i
+        on = np.flatnonzero(length)
+        least = max(least, 1)
+        if len(on) < least:
+            return none, none
+        on = on[np.argsort(-length[on], kind="stable")]
+        n_long = min(least - 1, int(least / (mu * np.log2(max(int(length[on[0]]), 2)) + 1)))
+        long, short = a + on[:n_long], a + on[n_long:]
+        sizes = self.place[short] - self.start[short]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(self.start[short] - (ends - sizes), sizes)
+        count = np.bincount(self.owner[at], minlength=i)
+        found = np.flatnonzero(count >= least - n_long)
+        found = found[found >= lo]
+        count = count[found]
+        for k in range(0, n_long, 16):
+            if not len(found):
+                return none, none
+            goal = self.code[long[k : k + 16], None] * self.n + found
+            hit = np.minimum(np.searchsorted(self.keys, goal), len(self.keys) - 1)
+            count = count + (self.keys[hit] == goal).sum(0)
+            alive = count + max(n_long - k - 16, 0) >= least
+            found, count = found[alive], count[alive]
+        return found, count
+
+
+def cell_links(
+    sets: list[np.ndarray], copies: list[int], parts: list[int], leads: list[list[int]], lead: int, across: bool, percent: int = PERCENT
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each record of a cell the copies of the records linked with it, and a record of its component within the cell.
+
+    Records that share a lead below this one are compared there. across: only records of different parts are compared here."""
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    lists = Lists([sets[i] for i in order])
+    weight, part = np.array(copies, np.int64)[order], np.array(parts, np.int64)[order]
+    below = [[m for m in leads[i] if m < lead] for i in order]
+    at: dict[int, list[int]] = {}
+    for i, lower in enumerate(below):
+        for m in lower:
+            at.setdefault(m, []).append(i)
+    elsewhere = {m: np.array(x) for m, x in at.items() if len(x) > 1}
+    total, label = np.zeros(len(order), np.int64), np.arange(len(order))
+    for i, size in enumerate(lists.sizes.tolist()):
+        lo = int(np.searchsorted(lists.sizes[:i], -(-percent * size // 100)))
+        if lo == i:
             continue
-        size = int(sizes[i])
-        lo = int(np.searchsorted(sizes, -(-percent * size // 100)))
-        hi = i if asks_all else int(np.searchsorted(sizes, size * 100 // percent, "right"))
-        query: list[list[int]] | None = None
-        for u, v in _windows(lo, i, hi):
-            mine = find(i)
-            if all(find(j) == mine for j in range(u, v)):
-                continue
-            if query is None:
-                codes = code[own[i] : own[i + 1]]
-                query = [lists[x] for x in codes[shared[codes]].tolist()]
-            index = {k: x[p:q] for k, x in enumerate(query) if (p := bisect_left(x, u)) < (q := bisect_left(x, v))}
-            for j, n in divide_skip(index, list(index), required(size, int(sizes[u]), percent)).items():
-                if n >= required(size, int(sizes[j]), percent) and find(j) != find(i):
-                    root[find(j)] = find(i)
-                    edges.append((ids[order[j]], ids[order[i]]))
-    return edges
-
-
-def _windows(lo: int, i: int, hi: int) -> Iterator[tuple[int, int]]:
-    """[lo, hi) without i, in ranges that double away from i: near sizes first."""
-    step, v = 32, i
-    while v > lo:
-        yield max(lo, v - step), v
-        v -= step
-        step *= 2
-    step, u = 32, i + 1
-    while u < hi:
-        yield u, min(hi, u + step)
-        u += step
-        step *= 2
+        found, count = lists.before(i, lo, required(size, int(lists.sizes[lo]), percent))
+        both = size + lists.sizes[found]
+        found = found[count * (100 + percent) >= percent * both]
+        if across:
+            found = found[part[found] != part[i]]
+        lower = [elsewhere[m] for m in below[i] if m in elsewhere]
+        if lower and len(found):
+            found = found[~np.isin(found, np.concatenate(lower))]
+        if len(found):
+            total[i] += weight[found].sum()
+            total[found] += weight[i]
+            if (label[found] != label[i]).any():
+                label[np.isin(label, np.append(label[found], label[i]))] = label[i]
+    links, first = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    links[order], first[order] = total, np.array(order, np.int64)[label]
+    return links, first
 
 
 def _facts(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Iterator[pa.RecordBatch]:
@@ -236,6 +265,7 @@ def _facts(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Itera
         yield pa.record_batch(
             {
                 "doc_id": string_column(batch, "doc_id"),
+                "hash": string_column(batch, "hash"),
                 "n_shingles": pa.array(sizes, pa.int64()),
                 "fp1": pa.array(first, pa.int64()),
                 "fp2": pa.array(second, pa.int64()),
@@ -272,79 +302,79 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         label = new
 
 
-def _block_links(percent: int, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        asks: list[bool] = []
+def _cells(percent: int, width: int):
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, low, high = (x.as_py() for x in key)
+        rows: dict[str, list] = {"node": [], "rep": [], "copies": [], "part": [], "leads": []}
         sets: list[np.ndarray] = []
         for batch in batches:
-            ids += string_column(batch, "rep").to_pylist()
-            asks += string_column(batch, "asks").to_pylist()
+            for name, held in rows.items():
+                held += string_column(batch, name).to_pylist()
             sets += shingle_sets(string_column(batch, "text"), width)
-        found = links(ids, sets, asks, percent)
-        yield pa.record_batch({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        once = list({x: i for i, x in enumerate(rows["node"])}.values())  # repeated rows of a document bring its text again
+        pick = lambda xs: [xs[i] for i in once]
+        links, first = cell_links(pick(sets), pick(rows["copies"]), pick(rows["part"]), pick(rows["leads"]), lead, low != high, percent)
+        reps = pick(rows["rep"])
+        yield pa.record_batch(
+            {
+                "node": pa.array(pick(rows["node"]), pa.int64()), "links": pa.array(links),
+                "a": pa.array(reps, pa.int64()), "b": pa.array([reps[i] for i in first.tolist()], pa.int64()),
+            }
+        )
 
     return run
 
 
-def _search(work: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links (a, b) found in each block of work (rep, cluster, block, ask, asks)."""
-    return work.join(texts, "rep").groupBy("cluster", "block", "ask").applyInArrow(_block_links(percent, width), "a long, b long")
-
-
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of docs."""
+    return jaccard_links(docs, percent, block, width).drop("n_links")
+
+
+def jaccard_links(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
+    """As jaccard_components(), with n_links: to how many other documents each row is linked."""
     prepare(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     facts = saved(
-        slim.mapInArrow(lambda it: _facts(it, percent, width), "doc_id long, n_shingles long, fp1 long, fp2 long, sigs array<long>"), "facts"
+        slim.withColumn("hash", F.xxhash64("text")).mapInArrow(
+            lambda it: _facts(it, percent, width), "doc_id long, hash long, n_shingles long, fp1 long, fp2 long, sigs array<long>"
+        ),
+        "facts",
     )
-    # One class for each distinct set; its smallest doc_id stands for it.
+    # One class for each distinct set; the smallest doc_id stands for it, with one of its texts.
     sets = ["fp1", "fp2", "n_shingles"]
-    reps = facts.where("n_shingles > 0 and doc_id is not null").groupBy(*sets).agg(F.min("doc_id").alias("rep"))
-    reps = saved(reps, "reps")
-    signs = facts.select(F.col("doc_id").alias("rep"), *sets, "sigs").join(reps, ["rep", *sets]).select("rep", F.explode("sigs").alias("sig"))
-    lead = signs.groupBy("sig").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("sig", "lead")
-    meets = saved(signs.join(lead, "sig").where("rep <> lead").select("lead", "rep").distinct(), "meets")
-    clusters = components(meets, "lead", "rep").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-
-    members = clusters.join(reps.groupBy("rep").agg(F.sum("n_shingles").alias("n")), "rep")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    members = saved(members.join(blocks, "cluster"), "members")
-    texts = slim.withColumnRenamed("doc_id", "rep")
-    home = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int").alias("block")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    wide = members.where("blocks > 1")
-    pivots = wide.groupBy("cluster", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("p")).agg(F.min("rep").alias("rep"), F.first("blocks").alias("blocks"))
-    first = members.select("rep", "cluster", home).union(pivots.select("rep", "cluster", F.explode(every))).distinct()
-    found = saved(_search(first.select("*", F.lit(0).alias("ask"), F.lit(True).alias("asks")), texts, percent, width), "links")
-    joined = components(found, "a", "b").select(F.col("node").alias("rep"), "component")
-
-    if not wide.isEmpty():
-        wide = saved(wide.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "wide")
-        # Classes that share a signature have its smallest class in common: those that meet one such class are searched together,
-        # if they lie in several components, and each set of classes once.
-        stars = meets.union(meets.select("lead", "lead")).distinct()
-        signed = stars.join(wide.select("rep", "n", "component"), "rep")
-        apart = signed.groupBy("lead").agg(
-            F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("h1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("h2"),
-            F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum("n") / block).cast("int").alias("blocks"),
-        )
-        once = apart.where("low < high").groupBy("c", "h1", "h2").agg(F.min("lead").alias("lead"), F.first("blocks").alias("blocks"))
-        wide = saved(signed.join(once.select("lead", "blocks"), "lead").withColumnRenamed("lead", "cluster"), "apart")
-        largest = wide.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-        rest = wide.join(largest, "cluster").where("component <> largest")
-        # The queries, too, are dealt into blocks: one block of queries meets one of records.
-        asked = rest.groupBy("cluster").agg(F.ceil(F.sum("n") / block).cast("int").alias("asked"))
-        queries = rest.join(asked, "cluster").select(
-            "rep", "cluster", F.explode(every).alias("block"), F.pmod(F.xxhash64("rep", F.lit(2)), F.col("asked")).cast("int").alias("ask"), F.lit(True).alias("asks")
-        )
-        records = wide.join(asked, "cluster").select("rep", "cluster", home, F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("ask"), F.lit(False).alias("asks"))
-        second = queries.union(records).groupBy("rep", "cluster", "block", "ask").agg(F.max("asks").alias("asks"))
-        more = saved(_search(second, texts, percent, width), "links")
-        joined = components(found.union(more), "a", "b").select(F.col("node").alias("rep"), "component")
-
-    known = reps.join(joined, "rep", "left").select(*sets, F.coalesce("component", "rep").alias("component"))
+    one = facts.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", *sets).agg(F.min("hash").alias("hash"))
+    reps = one.groupBy(*sets).agg(F.min(F.struct("doc_id", "hash")).alias("r"), F.count("*").alias("copies"))
+    reps = saved(reps.select(*sets, F.xxhash64(*sets).alias("node"), F.col("r.doc_id").alias("rep"), F.col("r.hash").alias("hash"), "copies"), "reps")
+    signed = facts.select(F.col("doc_id").alias("rep"), "hash", *sets, "sigs").join(reps, ["rep", "hash", *sets])
+    # Dealt once, for both the leads and those that meet them.
+    signs = signed.select("node", F.explode("sigs").alias("sig")).repartition("sig")
+    lead = signs.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("sig", "lead")
+    stars = saved(signs.join(lead, "sig").select("lead", "node").distinct(), "stars")
+
+    # The smallest other star that a lead is in: where that has all of this star, this one has nothing to add.
+    outer = stars.where("lead < node").groupBy(F.col("node").alias("lead")).agg(F.min("lead").alias("outer"))
+    inside = stars.join(outer, "lead").join(stars.select(F.col("lead").alias("outer"), "node"), ["outer", "node"], "left_semi").groupBy("lead").agg(F.count("*").alias("inside"))
+    whole = stars.groupBy("lead").agg(F.count("*").alias("c")).join(inside, "lead").where("inside = c").select("lead")
+    stars = stars.join(whole, "lead", "left_anti")
+    members = saved(stars.groupBy("node").agg(F.sort_array(F.collect_set("lead")).alias("leads")).join(reps, "node"), "members")
+    placed = members.select("node", "n_shingles", F.explode("leads").alias("lead"))
+    parts = placed.groupBy("lead").agg(F.ceil(F.sum("n_shingles") / block).cast("int").alias("parts"))
+    wide = parts.where("parts > 1")
+
+    texts = slim.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("hash"), "text")
+    rows = members.select("node", "rep", "hash", "copies", "leads").join(texts, ["rep", "hash"]).select("node", "rep", "copies", "text", "leads", F.explode("leads").alias("lead"))
+    rows = rows.join(F.broadcast(saved(wide, "wide")), "lead", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("node", "rep", "copies", "text", "leads", "part", "lead", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    found = saved(rows.groupBy("lead", "low", "high").applyInArrow(_cells(percent, width), "node long, links long, a long, b long").where("links > 0"), "links")
+
+    joined = components(found.where("a <> b"), "a", "b").select(F.col("node").alias("rep"), "component")
+    counted = found.groupBy("node").agg(F.sum("links").alias("links"))
+    known = reps.join(joined, "rep", "left").join(counted, "node", "left").select(
+        *sets, F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
+    )
+    owned = F.col("doc_id").isNotNull()
     return facts.select("doc_id", *sets).join(known, sets, "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
+        "doc_id", "n_shingles", F.when(owned, F.coalesce("component", "doc_id")).alias("component_id"), F.when(owned, F.coalesce("links", F.lit(0))).alias("n_links")
     )

@@ -46,6 +46,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op5_jaccard_join, with the number of links of each document."""
+    return jaccard_join.jaccard_links(_read(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return packing.pack(docs.select("doc_id", packing.word_count().alias("n_tokens")))
@@ -79,7 +84,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_sentencepiece, op2_tiff, op3_language_id, op4_quality_rules, op5_jaccard_join,
+        op1_sentencepiece, op2_tiff, op3_language_id, op4_quality_rules, op5_jaccard_join, op5_jaccard_links,
         op6_packing, op7_token_counts, op8_token_parquet, op9_toxicity, op10_html_extraction,
     )
 }

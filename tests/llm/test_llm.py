@@ -392,6 +392,34 @@ def test_stage_takes_five_words_and_80_percent(spark, near_five):
     assert cp.keep_one_of_each_group(spark, few, "").count() == 4
 
 
+def test_lists_find_what_divide_skip_finds(near):
+    sets = sorted(jaccard_join.shingle_sets(pa.array([t for _, t in near])), key=len)
+    lists = jaccard_join.Lists(sets)
+    for i in range(0, len(sets), 5):
+        index = {}
+        for j, s in enumerate(sets[:i]):
+            for x in s.tolist():
+                index.setdefault(x, []).append(j)
+        for least in (1, 2, 4, max(1, len(sets[i]) // 2), len(sets[i])):
+            want = jaccard_join.divide_skip(index, sets[i].tolist(), least)
+            assert dict(zip(*(x.tolist() for x in lists.before(i, 0, least)))) == want
+            assert dict(zip(*(x.tolist() for x in lists.before(i, i // 2, least)))) == {j: n for j, n in want.items() if j >= i // 2}
+
+
+@pytest.mark.parametrize("width,percent,block", [(3, 90, jaccard_join.BLOCK), (3, 90, 150), (5, 80, 150)])
+def test_every_link_counts_once(spark, near_five, width, percent, block):
+    rows = list(enumerate([t for _, t in near_five + near_five[:60:7]]))
+    want = dict.fromkeys((i for i, _ in rows), 0)
+    for i, j in linked_pairs(rows, width, percent):
+        want[i] += 1
+        want[j] += 1
+    assert max(want.values()) > 5
+    odd = [rows[3], (None, rows[3][1]), (999, ""), (998, None)]  # a repeated row is no document of its own, a null doc_id has no links
+    got = jaccard_join.jaccard_links(spark.createDataFrame(rows + odd, "doc_id long, text string"), percent, block, width).collect()
+    assert len(got) == len(rows) + len(odd)
+    assert {r.doc_id: r.n_links for r in got} == want | {None: None, 999: 0, 998: 0}
+
+
 def test_join_edges(spark, edges, nothing):
     got = jaccard_join.jaccard_components(edges).collect()
     assert len(got) == len(ROWS)
