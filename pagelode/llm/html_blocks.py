@@ -45,7 +45,8 @@ BLOCK_TAGS = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table "
     "tbody td textarea tfoot th thead title tr ul".split()
 )
-RAW_TAGS = "script style noscript template iframe object svg math canvas audio video".split()
+#: Left out with all they hold. An svg tag that closes itself holds nothing; math, object, audio and video hold text like any other tag.
+RAW_TAGS = "script style noscript template iframe svg canvas".split()
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open tag that one of these closes.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
@@ -54,6 +55,7 @@ BARRIERS = frozenset("ul ol menu dl table select".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
+    r"|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>"
     r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</(?P=raw)\s*>|$)|$)"
     r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|$)"
     r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",

@@ -572,6 +572,19 @@ def test_blocks():
     assert html_blocks.blocks(None) == html_blocks.blocks("") == []
 
 
+def test_nothing_behind_an_empty_svg_or_in_math_is_lost():
+    def text(page):
+        return [b.text for b in html_blocks.blocks(page)]
+
+    assert text('<article><p>a <svg class="i"/> b</p><p>c</p></article>') == ["a b", "c"]
+    assert text("<p>a<svg/>b<SVG viewBox='0 > 1' />c<math/>d</p><p>e") == ["abcd", "e"]
+    assert text('<p>a <svg class="i"><path d="m"/><text>no</text></svg> b</p>') == ["a b"]
+    assert text("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p><p>c") == ["a x=1 b", "c"]
+    assert text("<p>a <object>old</object> <audio controls>sound</audio> <video><source src=s>film</video> b") == ["a old sound film b"]
+    marked = html_blocks.blocks("<article><p>a<math/>b</p></article><p>c")
+    assert [b.path for b in marked] == [("article", "p"), ("p",)]
+
+
 def test_gradient_of_the_labeller():
     rng = np.random.default_rng(0)
     model = html_blocks.BlockLabeller.fresh()
