@@ -24,7 +24,8 @@ Links join two (document, set) pairs of different sets or documents: n_links of
 of each class linked with it. It is null for a null doc_id; rows of one doc_id and one set are one document.
 
 Defined cases: null, empty or wordless texts have an empty set and are linked with nothing; a null
-doc_id is a document of its own id null; repeated rows keep one output row each; other columns are ignored.
+doc_id is a document of its own id null; repeated rows keep one output row each, and rows of one doc_id with different sets are
+documents of their own, which link by their sets alone; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelode.llm.shared import chunks, mixed, saved, prepare, string_column, word_hashes, words
+from pagelode.llm.shared import chunks, mixed, prepare, removed, saved, string_column, word_hashes, words
 
 #: Links need 100 * intersection >= 90 * union.
 PERCENT = 90
@@ -47,6 +48,10 @@ WIDTH = 3
 CLASS = 1.5
 #: Shingles in one part of a star, about.
 BLOCK = 1 << 19
+#: Sets that a task remembers as signed.
+SEEN = 1 << 18
+#: Parts into which the rows of one join key are dealt where a key may hold a large share of them.
+SALT = 8
 
 _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
@@ -253,13 +258,19 @@ def cell_links(
 
 
 def _facts(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Size, fingerprints and signatures of each row's set; a task signs equal sets once (again after SEEN other ones)."""
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         sizes, first, second, signs = [], [], [], []
         for s in shingle_sets(string_column(batch, "text"), width):
             sizes.append(len(s))
             first.append(int(np.sum(mixed(s + _A), dtype=np.uint64).view(np.int64)))
             second.append(int(np.sum(mixed(s ^ _C) * (s | np.uint64(1)), dtype=np.uint64).view(np.int64)))
-            signs.append(signatures(s, percent).view(np.int64) if len(s) else np.zeros(0, np.int64))
+            known = (first[-1], second[-1])
+            signs.append(np.zeros(0, np.int64) if known in seen else signatures(s, percent).view(np.int64))
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(known)
         at = np.concatenate(([0], np.cumsum([len(x) for x in signs]))).astype(np.int32)
         flat = np.concatenate(signs) if signs else np.zeros(0, np.int64)
         yield pa.record_batch(
@@ -274,17 +285,26 @@ def _facts(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Itera
         )
 
 
+def _dealt_join(many: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """many joined with few (one row for each key); a key's rows in many are dealt by `by` into SALT parts, and few is repeated."""
+    salted = many.withColumn("_s", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int"))
+    repeated = few.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return salted.join(repeated, [key, "_s"], how).drop("_s")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): each node of the edges with the smallest node that it is joined with.
 
     Rounds of hooking every node to the smallest label around it and then following labels of labels;
-    the number of rounds grows with the logarithm of a component's width. Only counts reach the driver."""
+    the number of rounds grows with the logarithm of a component's width. Only counts reach the driver, and each
+    round's table replaces the one before."""
     both = saved(
         edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges"
     )
     label = saved(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("component")), "labels")
     while True:
-        around = both.join(label.select(F.col("node").alias("y"), "component"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
+        near = _dealt_join(both, label.select(F.col("node").alias("y"), "component"), "y", "x")
+        around = near.groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
         hooked = label.join(around, "node").select("node", "component", F.least("component", "near").alias("best"))
         # the old label's own node learns the better one, too: whole trees move at once
         moved = (
@@ -293,13 +313,16 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             .groupBy("node")
             .agg(F.min("best").alias("best"))
         )
-        jump = moved.select(F.col("node").alias("best"), F.col("best").alias("further"))
-        new = moved.join(jump, "best", "left").select("node", F.least("best", F.coalesce("further", "best")).alias("component"))
+        jump = moved.where("node <> best").select(F.col("node").alias("best"), F.col("best").alias("further"))
+        new = _dealt_join(moved, jump, "best", "node", "left").select("node", F.coalesce("further", "best").alias("component"))
         new = saved(new, "labels")
         old = label.withColumnRenamed("component", "was")
-        if new.join(old, "node").where(F.col("component") != F.col("was")).isEmpty():
-            return new
+        settled = new.join(old, "node").where(F.col("component") != F.col("was")).isEmpty()
+        removed(label)
         label = new
+        if settled:
+            removed(both)
+            return label
 
 
 def _cells(percent: int, width: int):
@@ -311,14 +334,12 @@ def _cells(percent: int, width: int):
             for name, held in rows.items():
                 held += string_column(batch, name).to_pylist()
             sets += shingle_sets(string_column(batch, "text"), width)
-        once = list({x: i for i, x in enumerate(rows["node"])}.values())  # repeated rows of a document bring its text again
-        pick = lambda xs: [xs[i] for i in once]
-        links, first = cell_links(pick(sets), pick(rows["copies"]), pick(rows["part"]), pick(rows["leads"]), lead, low != high, percent)
-        reps = pick(rows["rep"])
+        links, first = cell_links(sets, rows["copies"], rows["part"], rows["leads"], lead, low != high, percent)
         yield pa.record_batch(
             {
-                "node": pa.array(pick(rows["node"]), pa.int64()), "links": pa.array(links),
-                "a": pa.array(reps, pa.int64()), "b": pa.array([reps[i] for i in first.tolist()], pa.int64()),
+                "node": pa.array(rows["node"], pa.int64()), "rep": pa.array(rows["rep"], pa.int64()), "links": pa.array(links),
+                "to_node": pa.array([rows["node"][i] for i in first.tolist()], pa.int64()),
+                "to_rep": pa.array([rows["rep"][i] for i in first.tolist()], pa.int64()),
             }
         )
 
@@ -332,49 +353,64 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, block: int = BLO
 
 def jaccard_links(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
     """As jaccard_components(), with n_links: to how many other documents each row is linked."""
+    owned = F.col("doc_id").isNotNull()
+    return jaccard_groups(docs, percent, block, width).select(
+        "doc_id", "n_shingles", F.when(owned, F.coalesce("component", "doc_id")).alias("component_id"), F.when(owned, F.coalesce("links", F.lit(0))).alias("n_links")
+    )
+
+
+def jaccard_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
+    """doc_id, hash (xxhash64 of the text), n_shingles, component, links and first of every row of docs.
+
+    first: the row's document is the one that stands for its component, which is that of the smallest doc_id (then of the
+    smallest hash of the set, then of the text). Null for an empty set or a null doc_id."""
     prepare(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    facts = saved(
-        slim.withColumn("hash", F.xxhash64("text")).mapInArrow(
-            lambda it: _facts(it, percent, width), "doc_id long, hash long, n_shingles long, fp1 long, fp2 long, sigs array<long>"
-        ),
-        "facts",
+    facts = slim.withColumn("hash", F.xxhash64("text")).mapInArrow(
+        lambda it: _facts(it, percent, width), "doc_id long, hash long, n_shingles long, fp1 long, fp2 long, sigs array<long>"
     )
+    facts = saved(facts.withColumn("node", F.xxhash64("fp1", "fp2", "n_shingles")).drop("fp1", "fp2"), "facts")
     # One class for each distinct set; the smallest doc_id stands for it, with one of its texts.
-    sets = ["fp1", "fp2", "n_shingles"]
-    one = facts.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", *sets).agg(F.min("hash").alias("hash"))
-    reps = one.groupBy(*sets).agg(F.min(F.struct("doc_id", "hash")).alias("r"), F.count("*").alias("copies"))
-    reps = saved(reps.select(*sets, F.xxhash64(*sets).alias("node"), F.col("r.doc_id").alias("rep"), F.col("r.hash").alias("hash"), "copies"), "reps")
-    signed = facts.select(F.col("doc_id").alias("rep"), "hash", *sets, "sigs").join(reps, ["rep", "hash", *sets])
+    owned = facts.where("n_shingles > 0 and doc_id is not null")
+    one = owned.groupBy("doc_id", "node", "n_shingles").agg(F.min("hash").alias("hash"))
+    reps = one.groupBy("node", "n_shingles").agg(F.min(F.struct("doc_id", "hash")).alias("r"), F.count("*").alias("copies"))
+    reps = saved(reps.select("node", "n_shingles", F.col("r.doc_id").alias("rep"), F.col("r.hash").alias("hash"), "copies"), "reps")
     # Dealt once, for both the leads and those that meet them.
-    signs = signed.select("node", F.explode("sigs").alias("sig")).repartition("sig")
+    signs = facts.where("n_shingles > 0").select("node", F.explode("sigs").alias("sig")).repartition("sig")
     lead = signs.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("sig", "lead")
-    stars = saved(signs.join(lead, "sig").select("lead", "node").distinct(), "stars")
+    stars = saved(signs.join(lead.hint("shuffle_merge"), "sig").select("lead", "node").distinct(), "stars")
 
     # The smallest other star that a lead is in: where that has all of this star, this one has nothing to add.
     outer = stars.where("lead < node").groupBy(F.col("node").alias("lead")).agg(F.min("lead").alias("outer"))
     inside = stars.join(outer, "lead").join(stars.select(F.col("lead").alias("outer"), "node"), ["outer", "node"], "left_semi").groupBy("lead").agg(F.count("*").alias("inside"))
     whole = stars.groupBy("lead").agg(F.count("*").alias("c")).join(inside, "lead").where("inside = c").select("lead")
-    stars = stars.join(whole, "lead", "left_anti")
-    members = saved(stars.groupBy("node").agg(F.sort_array(F.collect_set("lead")).alias("leads")).join(reps, "node"), "members")
+    outermost = stars.join(whole, "lead", "left_anti")
+    members = saved(outermost.groupBy("node").agg(F.sort_array(F.collect_set("lead")).alias("leads")).join(reps, "node"), "members")
     placed = members.select("node", "n_shingles", F.explode("leads").alias("lead"))
     parts = placed.groupBy("lead").agg(F.ceil(F.sum("n_shingles") / block).cast("int").alias("parts"))
-    wide = parts.where("parts > 1")
+    wide = saved(parts.where("parts > 1"), "wide")
 
-    texts = slim.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("hash"), "text")
-    rows = members.select("node", "rep", "hash", "copies", "leads").join(texts, ["rep", "hash"]).select("node", "rep", "copies", "text", "leads", F.explode("leads").alias("lead"))
-    rows = rows.join(F.broadcast(saved(wide, "wide")), "lead", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # Every text is dealt once, at any size of the input; equal rows of one doc_id are one text.
+    texts = slim.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("hash"), "text").where("rep is not null").dropDuplicates(["rep", "hash"])
+    rows = members.select("node", "rep", "hash", "copies", "leads").hint("shuffle_merge").join(texts, ["rep", "hash"])
+    rows = rows.select("node", "rep", "copies", "text", "leads", F.explode("leads").alias("lead"))
+    rows = rows.join(F.broadcast(wide), "lead", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("node", "rep", "copies", "text", "leads", "part", "lead", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    found = saved(rows.groupBy("lead", "low", "high").applyInArrow(_cells(percent, width), "node long, links long, a long, b long").where("links > 0"), "links")
+    cells = rows.groupBy("lead", "low", "high").applyInArrow(_cells(percent, width), "node long, rep long, links long, to_node long, to_rep long")
+    found = saved(cells.where("links > 0"), "links")
+    removed(stars, members, wide)
 
-    joined = components(found.where("a <> b"), "a", "b").select(F.col("node").alias("rep"), "component")
+    # Classes are ordered by (rep, node): two sets of one doc_id stay two classes, and the least one has the smallest doc_id.
+    ends = found.where("node <> to_node").select(F.struct("rep", "node").alias("a"), F.struct(F.col("to_rep").alias("rep"), F.col("to_node").alias("node")).alias("b"))
+    joined = components(ends, "a", "b").select(F.col("node.node").alias("node"), F.col("component.rep").alias("component"), F.col("component.node").alias("first"))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = reps.join(joined, "rep", "left").join(counted, "node", "left").select(
-        *sets, F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
-    )
-    owned = F.col("doc_id").isNotNull()
-    return facts.select("doc_id", *sets).join(known, sets, "left").select(
-        "doc_id", "n_shingles", F.when(owned, F.coalesce("component", "doc_id")).alias("component_id"), F.when(owned, F.coalesce("links", F.lit(0))).alias("n_links")
+    known = reps.join(joined, "node", "left").join(counted, "node", "left").select(
+        "node", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
+        F.when(F.coalesce("first", F.col("node")) == F.col("node"), F.struct("rep", "hash")).alias("best"),
     )
+    rows = _dealt_join(facts.select("doc_id", "n_shingles", "node", "hash"), known, "node", "doc_id", "left")
+    here = F.struct(F.col("doc_id").alias("rep"), "hash")
+    first = F.when(F.col("doc_id").isNotNull() & F.col("component").isNotNull(), F.coalesce(F.col("best") == here, F.lit(False)))
+    return rows.select("doc_id", "hash", "n_shingles", "component", "links", first.alias("first"))

@@ -11,7 +11,8 @@ Batches form in shards of about SHARD rows, dealt by doc_id, so that no bucket i
 shard leaves at most one batch unfilled.
 
 Defined cases: rows without a length count as 0; a row longer than the budget is a batch by itself; rows of
-equal doc_id share a shard and are in order of length; an empty table has no buckets and no rows.
+equal doc_id share a shard and are in order of length; those without a doc_id are dealt by a hash of their
+strings and whole numbers; an empty table has no buckets and no rows.
 """
 
 from __future__ import annotations
@@ -68,9 +69,9 @@ def _useless(a: tuple[int, int, int], b: tuple[int, int, int], c: tuple[int, int
     return (c[1] - a[1]) * (a[0] - b[0]) <= (b[1] - a[1]) * (a[0] - c[0])
 
 
-def _shard(shards: Column) -> Column:
-    mixed = F.pmod(F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(1048573)) * 40503, F.lit(65537))
-    return F.pmod(mixed, shards).cast("int")
+def _shard(shards: Column, columns: list[str]) -> Column:
+    own = F.pmod(F.pmod(F.col("doc_id"), F.lit(1048573)) * 40503, F.lit(65537))
+    return F.pmod(F.coalesce(own, F.pmod(F.xxhash64(*columns), F.lit(65537))), shards).cast("int")
 
 
 def pack(rows: DataFrame, length: str = "n_tokens", buckets: int = BUCKETS, budget: int = BUDGET, shard: int = SHARD) -> DataFrame:
@@ -88,11 +89,12 @@ def pack(rows: DataFrame, length: str = "n_tokens", buckets: int = BUCKETS, budg
             k += 1
         held[k] += c
     table = [(k, u, max(1, budget // max(u, 1)), -(-h // shard)) for k, (u, h) in enumerate(zip(uppers, held, strict=True))] or [(0, 0, 1, 1)]
+    columns = [f.name for f in rows.schema.fields if f.dataType.simpleString() in ("string", "int", "bigint")]
     column = lambda i: F.array(*(F.lit(t[i]) for t in table))
     bucket = F.size(F.filter(column(1).cast("array<long>"), lambda u: u < size))
     placed = rows.withColumn("bucket", bucket)
     of = lambda i: F.get(column(i), F.col("bucket"))
-    placed = placed.withColumn("bucket_length", of(1).cast("long")).withColumn("shard", _shard(of(3)))
+    placed = placed.withColumn("bucket_length", of(1).cast("long")).withColumn("shard", _shard(of(3), columns))
     order = Window.partitionBy("bucket", "shard").orderBy(F.col("doc_id").asc_nulls_first(), size)
     place = F.row_number().over(order) - 1
     placed = placed.withColumn("_p", place)

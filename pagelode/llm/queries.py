@@ -18,8 +18,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def held_out():
-    """Rows that no language model learns from."""
-    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    """Rows that no language model learns from; a null doc_id counts as an empty one, whose remainder is 0."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +43,6 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
-
-
-def op5_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op5_jaccard_join, with the number of links of each document."""
     return jaccard_join.jaccard_links(_read(spark, sf_dir, "documents"))
 
 
@@ -84,7 +79,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_sentencepiece, op2_tiff, op3_language_id, op4_quality_rules, op5_jaccard_join, op5_jaccard_links,
+        op1_sentencepiece, op2_tiff, op3_language_id, op4_quality_rules, op5_jaccard_join,
         op6_packing, op7_token_counts, op8_token_parquet, op9_toxicity, op10_html_extraction,
     )
 }
@@ -99,16 +94,18 @@ WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
-reps AS (SELECT min(doc_id) AS rep, list_sort(s) AS s FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
+reps AS (SELECT min(doc_id) AS rep, count(DISTINCT doc_id) AS copies, list_sort(s) AS s FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
 g AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM reps),
 p AS (
   SELECT a.rep AS a, b.rep AS b FROM g a JOIN g b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
   GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
 e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
 r AS (SELECT rep AS x, rep AS y FROM reps UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
-c AS (SELECT x AS rep, min(y) AS component FROM r GROUP BY x)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.component, s.doc_id) AS component_id
-FROM s LEFT JOIN reps ON list_sort(s.s) = reps.s LEFT JOIN c USING (rep)
+c AS (SELECT x AS rep, min(y) AS component FROM r GROUP BY x),
+l AS (SELECT e.a AS rep, sum(reps.copies) AS links FROM e JOIN reps ON e.b = reps.rep GROUP BY e.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.component, s.doc_id) AS component_id,
+  CAST(coalesce(reps.copies - 1 + coalesce(l.links, 0), 0) AS BIGINT) AS n_links
+FROM s LEFT JOIN reps ON list_sort(s.s) = reps.s LEFT JOIN c USING (rep) LEFT JOIN l USING (rep)
 """,
     "op6_packing": packing.oracle(_PLAIN_WORDS),
 }

@@ -35,9 +35,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (a local session), one of our own."""
+    """The folder of spark.checkpoint.dir; where it is unset, one of our own in a local session and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(spark, "_pagelode_folder", None) or tempfile.mkdtemp(prefix="pagelode-")
         spark._pagelode_folder = folder
     return folder.rstrip("/")
@@ -47,7 +49,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs only a read."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._pagelode_path = path
+    return table
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes saved() tables that nothing reads any more; other tables are left alone."""
+    for table in tables:
+        path = getattr(table, "_pagelode_path", None)
+        if path:
+            jvm = table.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def in_one_task(rows: DataFrame, fit: Callable[[pa.Table], object]):
