@@ -1,5 +1,16 @@
 """Corpus pipeline: toxic documents go, then those in no known language, then all but one of each group of near copies; the
-rest is packed into token-budget batches. Each stage's result is written as Parquet and read again by the next."""
+rest is packed into token-budget batches. Each stage's result is written as Parquet and read again by the next.
+
+Near copies are documents that links join: sets of 5-word shingles with a Jaccard similarity of at least 0.8.
+
+Defined cases. Toxicity: a null or empty text gets the prior; without labels no document is toxic. Language: a null text or one
+without a letter has no language and goes; documents with a null doc_id aren't learned from. Near copies: texts without words are
+linked with nothing and stay; rows of one doc_id and one text are one document, of which the least row (by all columns in order)
+stays; rows of one doc_id with different texts are documents of their own; a null doc_id takes part and comes last, so of a group
+that also has doc_ids one with a doc_id stays; of a group the smallest doc_id stays, then the smallest hash of its set and text.
+Packing: every document of the stage before, with its text; its columns named as packing's own give way. Empty tables give empty tables. Columns
+besides doc_id and text pass through, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +25,8 @@ from pagelode.llm.shared import shared_folder
 
 #: A document stays if one language holds at least this share of its letters.
 LEAST_SHARE = 0.3
+#: Words of a shingle, and the least similarity in percent, of near copies.
+WIDTH, PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,24 +36,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
+    model = langid.fit(docs.where(~held_out()))
     found = langid.identify(docs, model)
     return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SHARE)).select(*docs.columns)
 
 
-def keep_one_of_each_group(
-    spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = jaccard_join.WIDTH, percent: int = jaccard_join.PERCENT
-) -> DataFrame:
-    """The document of the smallest doc_id of each component; rows of one doc_id are one document.
-
-    STAGES runs it with op5's three words and 90 percent; near copies that these tell apart need width=5, percent=80."""
-    first = jaccard_join.jaccard_components(docs, percent=percent, width=width).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One document of each component of links, and those that are linked with nothing."""
+    last = F.lit((1 << 63) - 1)
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), "text")
+    found = jaccard_join.jaccard_groups(keyed, percent=percent, width=width)
+    stay = found.where("n_shingles = 0 or first").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("_id"), F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_row"))
+    # Both sides are dealt by (_id, _hash): the texts move once.
+    return rows.groupBy("_id", "_hash").agg(F.min("_row").alias("_row")).join(stay, ["_id", "_hash"], "left_semi").select("_row.*")
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs.select("doc_id", "lang", "source", packing.word_count().alias("n_tokens")))
+    return packing.pack(docs.withColumn("n_tokens", packing.word_count()))
 
 
 STAGES = [
