@@ -9,7 +9,8 @@ merged by counting each record's occurrences in numpy; divide_skip() is the plai
 2. A class emits signatures: its shingles are dealt by hash into k parts, and each part is one
    signature. Two sets of similarity t differ in at most (1-t)/(1+t) * (a+b) shingles, and k is above
    that number, so linked sets share a whole part. Signatures of unlike documents hardly ever meet,
-   whatever lines, passages or words they share.
+   whatever lines, passages or words they share. Below BY_PARTS percent the parts would be of too few shingles; there the signatures
+   are the shingles of the set's prefix, in an order that puts the frequent ones last: linked sets share one of these.
 3. The classes of a signature meet at its smallest class, their lead; all that meet at one lead are a star. Linked classes are in
    a star together. A star that lies inside another one of a smaller lead is left out.
 4. A star above the size of a block is dealt by hash into parts, and each two parts meet in one cell. DivideSkip finds all links of
@@ -36,7 +37,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelode.llm.shared import chunks, mixed, prepare, removed, saved, string_column, word_hashes, words
@@ -50,6 +52,13 @@ CLASS = 1.5
 BLOCK = 1 << 19
 #: Sets that a task remembers as signed.
 SEEN = 1 << 18
+#: Percentages below this sign by prefix: the parts of their signatures would hold too few shingles to tell texts apart.
+BY_PARTS = 88
+#: Shingles looked at together for frequent ones, the sets that make one frequent there, and how many are told to every task (16
+#: bytes each).
+WINDOW, LOCAL, FREQUENT = 1 << 22, 3, 1 << 18
+#: A prefix has one shingle more for so many of the set: linked sets then share as many more.
+EXTRA = 16
 #: Parts into which the rows of one join key are dealt where a key may hold a large share of them.
 SALT = 8
 
@@ -116,6 +125,65 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def prefix(s: np.ndarray, percent: int, often: Often) -> np.ndarray:
+    """The first shingles of the set in one order over all sets, frequent ones last, marked with each of the set's classes.
+
+    Linked sets a and b have met_by() of the smaller among these in common: where |a| - T + l of a and |b| - T + l of b are
+    taken (T the required overlap, at least the percentage of either), l are shared."""
+    keep = len(s) - -(-percent * len(s) // 100) + 1 + len(s) // EXTRA
+    first = s if keep >= len(s) else s[np.lexsort((mixed(s), often.rank(s)))[:keep]]
+    return np.concatenate([mixed(first + np.full(1, cls + 1, np.uint64) * _B) for cls, _ in _classes(len(s), percent)])
+
+
+def met_by(size: Column, percent: int) -> Column:
+    """How many prefix shingles at least a set of this size shares with any set that it is linked with."""
+    return 1 + F.floor(F.ceil(size * percent / 100) / EXTRA)
+
+
+class Often:
+    """Frequent shingles with their place in the order of frequency; any others come before them."""
+
+    def __init__(self, shingles: np.ndarray, counts: np.ndarray) -> None:
+        by = np.argsort(shingles)
+        self.shingles, self.counts = shingles[by], counts[by]
+
+    def rank(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.zeros(len(s), np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == s, self.counts[at], 0)
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], width: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Shingles that are in LOCAL or more different sets among those of about `window` shingles, with their number of sets."""
+    held: dict[int, np.ndarray] = {}
+    size = 0
+
+    def found() -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate([*held.values(), np.zeros(0, np.uint64)]), return_counts=True)
+        often = counts >= LOCAL
+        return pa.record_batch({"shingle": pa.array(values[often].view(np.int64)), "n": pa.array(counts[often].astype(np.int64))})
+
+    for batch in batches:
+        for s in shingle_sets(string_column(batch, "text"), width):
+            key = hash(s.tobytes())
+            if len(s) and key not in held:
+                held[key] = s
+                size += len(s)
+            if size >= window:
+                yield found()
+                held.clear()
+                size = 0
+    yield found()
+
+
+def often_in(docs: DataFrame, width: int, most: int = FREQUENT, window: int = WINDOW) -> Often:
+    """The shingles that windows of all texts name most often. They decide an order, which is exact whatever it names."""
+    named = docs.select("text").mapInArrow(lambda it: _frequent(it, width, window), "shingle long, n long")
+    rows = named.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "shingle").limit(most).toArrow()
+    return Often(rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy())
+
+
 def divide_skip(index: dict[int, list[int]], query: list[int], least: int, mu: float = 0.0085) -> dict[int, int]:
     """Records that are on at least `least` of the query's inverted lists, with their number of occurrences.
 
@@ -257,7 +325,7 @@ def cell_links(
     return links, first
 
 
-def _facts(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Iterator[pa.RecordBatch]:
+def _facts(batches: Iterator[pa.RecordBatch], percent: int, width: int, often: Broadcast | None) -> Iterator[pa.RecordBatch]:
     """Size, fingerprints and signatures of each row's set; a task signs equal sets once (again after SEEN other ones)."""
     seen: set[tuple[int, int]] = set()
     for batch in batches:
@@ -267,7 +335,10 @@ def _facts(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Itera
             first.append(int(np.sum(mixed(s + _A), dtype=np.uint64).view(np.int64)))
             second.append(int(np.sum(mixed(s ^ _C) * (s | np.uint64(1)), dtype=np.uint64).view(np.int64)))
             known = (first[-1], second[-1])
-            signs.append(np.zeros(0, np.int64) if known in seen else signatures(s, percent).view(np.int64))
+            if known in seen:
+                signs.append(np.zeros(0, np.int64))
+            else:
+                signs.append((signatures(s, percent) if often is None else prefix(s, percent, often.value)).view(np.int64))
             if len(seen) >= SEEN:
                 seen.clear()
             seen.add(known)
@@ -366,8 +437,10 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK,
     smallest hash of the set, then of the text). Null for an empty set or a null doc_id."""
     prepare(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    by_prefix = percent < BY_PARTS
+    often = docs.sparkSession.sparkContext.broadcast(often_in(slim, width)) if by_prefix else None
     facts = slim.withColumn("hash", F.xxhash64("text")).mapInArrow(
-        lambda it: _facts(it, percent, width), "doc_id long, hash long, n_shingles long, fp1 long, fp2 long, sigs array<long>"
+        lambda it: _facts(it, percent, width, often), "doc_id long, hash long, n_shingles long, fp1 long, fp2 long, sigs array<long>"
     )
     facts = saved(facts.withColumn("node", F.xxhash64("fp1", "fp2", "n_shingles")).drop("fp1", "fp2"), "facts")
     # One class for each distinct set; the smallest doc_id stands for it, with one of its texts.
@@ -378,7 +451,14 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK,
     # Dealt once, for both the leads and those that meet them.
     signs = facts.where("n_shingles > 0").select("node", F.explode("sigs").alias("sig")).repartition("sig")
     lead = signs.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("sig", "lead")
-    stars = saved(signs.join(lead.hint("shuffle_merge"), "sig").select("lead", "node").distinct(), "stars")
+    stars = saved(signs.join(lead.hint("shuffle_merge"), "sig").groupBy("lead", "node").agg(F.count("*").alias("met")), "stars")
+    if by_prefix:
+        # Sets that share too few shingles with all others together are linked with none.
+        enough = stars.groupBy("node").agg(F.sum("met").alias("met")).join(reps, "node").where(F.col("met") >= met_by(F.col("n_shingles"), percent))
+        met = stars.join(enough.select("node"), "node", "left_semi")
+        several = met.groupBy("lead").agg(F.count("*").alias("c")).where("c > 1").select("lead")
+        everything, stars = stars, saved(met.join(several, "lead", "left_semi"), "stars")
+        removed(everything)
 
     # The smallest other star that a lead is in: where that has all of this star, this one has nothing to add.
     outer = stars.where("lead < node").groupBy(F.col("node").alias("lead")).agg(F.min("lead").alias("outer"))

@@ -667,3 +667,14 @@ def test_two_sets_of_one_doc_id_stay_apart(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got.collect()) == [(7, 98, 7, 1)] * 2 + [(8, 99, 7, 1)] + [(9, 99, 7, 1)] * 2
     classes = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).where("first").collect()
     assert sorted((r.doc_id, r.n_shingles) for r in classes) == [(7, 98), (7, 98)]
+
+
+def test_linked_sets_share_enough_of_their_prefixes(near_five):
+    sets = [s for s in jaccard_join.shingle_sets(pa.array([t for _, t in near_five]), 5) if len(s)]
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    for often in (jaccard_join.Often(values[:0], counts[:0]), jaccard_join.Often(values[counts > 4], counts[counts > 4])):
+        for a, b in itertools.combinations(sets, 2):
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                shared = np.intersect1d(jaccard_join.prefix(a, 80, often), jaccard_join.prefix(b, 80, often))
+                assert len(shared) >= 1 + -(-80 * min(len(a), len(b)) // 100) // jaccard_join.EXTRA
