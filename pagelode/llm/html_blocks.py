@@ -53,15 +53,18 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"o
 #: Such a tag doesn't reach beyond these.
 BARRIERS = frozenset("ul ol menu dl table select".split())
 
+#: Attributes up to the tag's end: a quote opens a value only right behind an equals sign.
+_ATTRS = r"(?:=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)|[^\s>]*+)|[^>=])*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>"
-    r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</(?P=raw)\s*>|$)|$)"
+    r"|<svg(?=[\s/])" + _ATTRS + r"(?<=/)>"
+    r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b" + _ATTRS + r"(?:>.*?(?:</(?P=raw)\s*>|$)|$)"
     r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|$)"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
+    r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>" + _ATTRS + r")(?:>|$)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTR = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]*+)))?")
+_MARKS = frozenset(("class", "id", "role"))
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -119,7 +122,7 @@ def blocks(page: str | None) -> list[Block]:
             attrs = m["attrs"]
             label = name
             if attrs and "=" in attrs:
-                marks = [w for a in _ATTR.findall(attrs) for w in _NAME.findall((a[1] or a[2] or a[3]).lower())]
+                marks = [w for a in _ATTR.findall(attrs) if a[0].lower() in _MARKS for w in _NAME.findall((a[1] or a[2] or a[3]).lower())]
                 if marks:
                     label = name + "." + ".".join(marks)
             if not attrs.rstrip().endswith("/") or name in BLOCK_TAGS:
@@ -415,11 +418,12 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> BlockLabeller:
     prepare(pages.sparkSession)
     # Only ids take part in the choice; the sampled pages alone come to the driver.
     few = pages.select("page_id").na.drop().distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
-    rows = pages.select("page_id", "html").join(F.broadcast(few), "page_id")
+    # A repeated page_id brings the least of its pages, so the task's rows are bounded by the sample.
+    rows = pages.select("page_id", "html").join(F.broadcast(few), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
 
     def run(table: pa.Table) -> BlockLabeller:
         table = table.sort_by([("page_id", "ascending"), ("html", "ascending")])
-        return trained(table["html"].to_pylist()[: 2 * sample])
+        return trained(table["html"].to_pylist())
 
     return in_one_task(rows, run) or trained([])
 

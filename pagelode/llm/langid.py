@@ -11,7 +11,9 @@ Viterbi is exact. Texts for which one language provably wins throughout (no stre
 from other languages than the switches into and out of it cost) skip the step-by-step recursion.
 
 Defined cases: null, empty and letterless texts get `und`, score 0 and no span; words of a script that
-no learned language uses give no evidence; ties go to the language that sorts first.
+no learned language uses give no evidence; ties go to the language that sorts first. A letter is a character of a Unicode category L:
+signs such as U+00D7 and digits of any script are none. Repeated rows count and are labelled each; columns called lang_pred,
+lang_score or spans give way to the operator's own, all others stay.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +90,26 @@ class Tokens:
     ends: np.ndarray
     row: np.ndarray
     script: np.ndarray
-    letters: np.ndarray  # characters in the word
+    letters: np.ndarray  # in the word; runs of signs or digits above ASCII have none
+
+
+@cache
+def _letter_table() -> np.ndarray:
+    """Which code points are letters (of a Unicode category L)."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Where in UTF-8 data a letter begins; data holds no ASCII but lower-case letters and blanks."""
+    out = (data >= 97) & (data <= 122)
+    at = np.flatnonzero(data >= 0xC0)
+    if len(at):
+        b = [np.append(data, [0] * 3)[at + i].astype(np.int64) for i in range(4)]
+        low = [x & 63 for x in b[1:]]
+        two, three = (b[0] & 31) << 6 | low[0], (b[0] & 15) << 12 | low[0] << 6 | low[1]
+        four = (b[0] & 7) << 18 | low[0] << 12 | low[1] << 6 | low[2]
+        out[at] = _letter_table()[np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, np.minimum(four, 0x10FFFF)))]
+    return out
 
 
 def tokens(texts: pa.Array) -> Iterator[tuple[int, int, Tokens]]:
@@ -100,8 +122,7 @@ def tokens(texts: pa.Array) -> Iterator[tuple[int, int, Tokens]]:
         data = np.where(inside, data, np.uint8(32))
         after = np.empty_like(data)
         after[:-1], after[-1:] = data[1:], 32
-        lead = (data & 0xC0) != 0x80
-        count = np.concatenate(([0], np.cumsum(inside & lead)))
+        count = np.concatenate(([0], np.cumsum(_letters(data))))
         yield lo, hi, Tokens(data, offsets, starts, ends, row, _SCRIPT[data[starts], after[starts]], count[ends] - count[starts])
 
 
@@ -201,9 +222,8 @@ class LanguageModel:
         for lo, hi, t in tokens(texts):
             s = self.word_scores(t)
             rows = hi - lo
-            real = _real_words(t)
             label = self.labels(s, t.row, rows) if len(s) else np.zeros(0, np.int64)
-            weight = np.bincount(t.row * len(self.langs) + label, t.letters * real, rows * len(self.langs)).reshape(rows, -1)
+            weight = np.bincount(t.row * len(self.langs) + label, t.letters, rows * len(self.langs)).reshape(rows, -1)
             sums, top = weight.sum(1), weight.argmax(1)
             bounds = np.searchsorted(t.row, np.arange(rows + 1))
             for d in range(rows):
@@ -213,21 +233,11 @@ class LanguageModel:
                 a, b = int(bounds[d]), int(bounds[d + 1])
                 x = label[a:b]
                 cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), b - a]
-                held = np.concatenate(([0], np.cumsum(t.letters[a:b] * real[a:b])))
+                held = np.concatenate(([0], np.cumsum(t.letters[a:b])))
                 spans = [(self.langs[int(x[u])], u, v, float((held[v] - held[u]) / sums[d])) for u, v in zip(cuts, cuts[1:], strict=False)]
                 yield self.langs[int(top[d])], float(weight[d, top[d]] / sums[d]), spans
 
 
-def _real_words(t: Tokens) -> np.ndarray:
-    """Which words hold a letter: bytes above ASCII may be signs or blanks."""
-    real = np.ones(len(t.starts), bool)
-    ascii_letter = (t.data >= 97) & (t.data <= 122)
-    count = np.concatenate(([0], np.cumsum(ascii_letter)))
-    for i in np.flatnonzero((count[t.ends] == count[t.starts]) & (t.script == 0)):
-        real[i] = any(ch.isalpha() for ch in t.data[t.starts[i] : t.ends[i]].tobytes().decode("utf-8", "replace"))
-    return real
-
-
 def _counts(batches: Iterator[pa.RecordBatch], text: str, lang: str) -> Iterator[pa.RecordBatch]:
     """Sums of this task: one row for each language, kind and bin that occurs."""
     width = BINS * len(ORDERS) + len(SCRIPTS) + 1

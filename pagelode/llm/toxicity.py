@@ -9,7 +9,8 @@ bytes (inflected forms share these), hashed to 64 bits; the model keeps the FEAT
 most about some category. Only the fit is on a sample: at most SAMPLE labelled rows
 (those with the smallest hash of doc_id, so every run takes the same). Every row is scored over its whole text.
 
-Defined cases: a null or empty text has no word and gets the prior; null labels aren't learned from;
+Defined cases: a null or empty text has no word and gets the prior; null labels aren't learned from, nor is a doc_id whose label
+rows contradict each other; of a repeated doc_id's texts the least is learned from;
 repeated rows are scored each; without any labelled row, no row is toxic. The probability from which
 a text counts as toxic is the one that best parts the out-of-fold predictions of the last category (by F1).
 """
@@ -174,9 +175,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample:
     """A chain over categories {name: SQL condition on the columns of labels}, in this order."""
     prepare(docs.sparkSession)
     known = labels.select("doc_id", *(F.expr(c).cast("double").alias(f"_{k}") for k, c in enumerate(categories.values())))
-    known = known.na.drop().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # At most `sample` rows of a few numbers: broadcast, so that no text is shuffled to find them.
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    marks = [f"_{k}" for k in range(len(categories))]
+    one = known.na.drop().groupBy("doc_id").agg(F.min(F.struct(*marks)).alias("least"), F.max(F.struct(*marks)).alias("most")).where("least = most")
+    known = one.select("doc_id", "least.*").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # At most `sample` rows of a few numbers: broadcast, so that no text is shuffled to find them. A repeated doc_id brings the
+    # least of its texts, so the task's rows are bounded by the sample.
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", *marks).agg(F.min("text").alias("text"))
     names = list(categories)
 
     def run(table: pa.Table) -> ToxicityChain:

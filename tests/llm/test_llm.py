@@ -678,3 +678,68 @@ def test_linked_sets_share_enough_of_their_prefixes(near_five):
             if 100 * both >= 80 * (len(a) + len(b) - both):
                 shared = np.intersect1d(jaccard_join.prefix(a, 80, often), jaccard_join.prefix(b, 80, often))
                 assert len(shared) >= 1 + -(-80 * min(len(a), len(b)) // 100) // jaccard_join.EXTRA
+
+
+def test_a_filter_copies_the_quality_plan_once(spark, docs, data):
+    rows = quality.judge(docs, spark.read.parquet(f"{data}/labels.parquet").where("quality = 1"))
+    sorts = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("sort_array")
+    plain = sorts(rows)
+    assert 1 <= plain <= 2
+    for condition in ("not base_failed", "kept", "n_repeat_words > 3"):
+        assert sorts(rows.where(condition)) <= 2 * plain
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=8) | st.sampled_from(["×", "÷ ×", "٣٤", "१२", "ª", "ß", "日本", "Ω", "a×", "𝔸", "𐍈 1", "İ", "€"]))
+def test_undetermined_without_a_letter(text):
+    counts = np.zeros((2, langid.BINS * len(langid.ORDERS)))
+    model = langid.LanguageModel.from_counts(["aa", "bb"], counts, np.ones((2, len(langid.SCRIPTS) + 1)))
+    text = text.encode("utf-8", "ignore").decode()
+    ((lang, score, spans),) = list(model.predict(pa.array([text])))
+    assert (lang == "und") == (not any(c.isalpha() for c in text.lower()))
+    assert 0 <= score <= 1 and (lang == "und") == (spans == [])
+
+
+def test_quotes_open_a_value_behind_an_equals_sign_only():
+    def text(page):
+        return [b.text for b in html_blocks.blocks(page)]
+
+    assert text("<p title=it's>I don't know</p><p>World</p>") == ["I don't know", "World"]
+    assert text("<p title=it's>Hello</p>") == ["Hello"]
+    assert text("<p ' \" x>a</p><p a='>' b=\">\">b</p>") == ["a", "b"]
+    assert text("<svg title=it's><path/></svg>a<script x=it's>b</script>c") == ["ac"]
+    (b,) = html_blocks.blocks("<div title='class=ad' data-id=menu CLASS=\"main text\"><p>x")
+    assert b.path == ("div.main.text", "p")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "<b x='>'>", "<i a=b'c>", "</i>", "t", " u ", "'", '"', "=", "<br/>", "<a href=\"x>y\">", "</a>", "<!-- c -->"]), max_size=25).map("".join))
+def test_no_text_is_lost_by_the_tokeniser(page):
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.held = []
+
+        def handle_data(self, data):
+            self.held.append(data)
+
+    plain = Plain()
+    plain.feed(page)
+    plain.close()
+    got = "".join("".join(b.text for b in html_blocks.blocks(page)).split())
+    assert got == "".join("".join(plain.held).split())
+
+
+def test_contradicting_labels_and_repeated_ids(spark):
+    rows = [(i, f"word{i % 7} good text number {i}" if i % 2 else f"bad evil text number {i}") for i in range(60)]
+    labels = [(i, 1, 1 - i % 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    schema = "doc_id long, quality int, toxic int"
+    one = toxicity.fit(docs, spark.createDataFrame(labels, schema), queries.TOXICITY)
+    two = toxicity.fit(docs.union(docs), spark.createDataFrame(labels + labels, schema), queries.TOXICITY)
+    assert all((a == b).all() for a, b in zip(one.weights, two.weights))
+    less = toxicity.fit(docs.where("doc_id <> 3"), spark.createDataFrame(labels, schema), queries.TOXICITY)
+    odd = toxicity.fit(docs, spark.createDataFrame(labels + [(3, 1, 1)], schema), queries.TOXICITY)
+    assert all((a == b).all() for a, b in zip(less.weights, odd.weights))
