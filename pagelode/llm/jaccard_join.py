@@ -180,7 +180,17 @@ def _frequent(batches: Iterator[pa.RecordBatch], width: int, window: int) -> Ite
 def often_in(docs: DataFrame, width: int, most: int = FREQUENT, window: int = WINDOW) -> Often:
     """The shingles that windows of all texts name most often. They decide an order, which is exact whatever it names."""
     named = docs.select("text").mapInArrow(lambda it: _frequent(it, width, window), "shingle long, n long")
-    rows = named.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "shingle").limit(most).toArrow()
+    named = saved(named.groupBy("shingle").agg(F.sum("n").alias("n")), "often")
+    # One row for each frequency; the least one from which on no more than `most` shingles are named.
+    held = sorted(named.groupBy("n").agg(F.count("*").alias("c")).toArrow().to_pylist(), key=lambda r: -r["n"])
+    least, total = None, 0
+    for r in held:
+        total += r["c"]
+        if total > most:
+            break
+        least = r["n"]
+    rows = named.where(F.lit(False) if least is None else F.col("n") >= least).toArrow()
+    removed(named)
     return Often(rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy())
 
 

@@ -81,6 +81,15 @@ class PretokenEncoder:
         probe = "Ab, c1's\n\t d  <|endoftext|> é ß"
         if self._ids([probe])[0] != [i for part in self._ids(self.pretokens(probe)) for i in part]:
             raise ValueError("this vocabulary joins text across white space")
+        self._shortcuts_hold()
+
+    def _shortcuts_hold(self) -> None:
+        """Turns the shortcuts of _packs off where a probe of cases and marks has other ids by them than by the library."""
+        probe = "The THE the Spark, SPARK. spark; USA, usa. Iowa zebra. Zebra QuIcKly, McDonald".split()
+        code = "H" if self.narrow else "I"
+        if self._packs(probe) != [struct.pack(f"<{len(i)}{code}", *i) for i in self._ids(probe)]:
+            self.ends = None
+        self.packed = Recent(KEPT)
 
     @classmethod
     def of(cls, path: str) -> PretokenEncoder:
@@ -134,8 +143,7 @@ class PretokenEncoder:
         return [rest[p] if w is None else base[w] if len(w) == len(p) else base[w] + marks[p[-1]] for p, w in zip(parts, forms, strict=True)]
 
     def _count(self, parts: list[str]) -> list[int]:
-        size = 2 if self.narrow else 4
-        return [len(x) // size for x in self._packs(parts)]
+        return [len(e) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     @property
     def narrow(self) -> bool:

@@ -1,8 +1,9 @@
 """Token counts without token ids.
 
-Method: a batch's texts are split into pre-tokens; pieces are counted once for each distinct pre-token (a cache of bounded
-size holds them across batches), joined to the documents' pre-tokens and summed. The join stays where the
-documents are: moving (document, pre-token, frequency) rows through a shuffle would write several times the input.
+Method: texts are taken about TOGETHER pre-tokens at a time. Their pre-tokens become a table of distinct ones and a table of
+frequencies by document; pieces are counted once for each distinct pre-token (a cache of bounded size holds the counts of those
+met before), joined to the frequencies and summed. No ids are made. The join stays where the documents are: a corpus-wide table of distinct
+pre-tokens would need (document, pre-token, frequency) rows to move through a shuffle, which writes more than the input.
 
 Defined cases: a null or empty text has 0 bytes and tokens; repeated rows are counted each; strings of special tokens inside a
 text count as the library's default has it (one special token each).
@@ -11,8 +12,8 @@ text count as the library's default has it (one special token each).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -32,8 +33,15 @@ def counts(texts: pa.Array, encoder: PretokenEncoder) -> list[int]:
     sizes: list[int] = []
 
     def flush() -> None:
-        pieces = iter(encoder.count_all(held))
-        out.extend(sum(islice(pieces, n)) for n in sizes)
+        distinct: dict[str, int] = {}
+        code = np.array([distinct.setdefault(p, len(distinct)) for p in held], np.int64)
+        document = np.repeat(np.arange(len(sizes)), sizes)
+        pairs, frequency = np.unique(document * max(len(distinct), 1) + code, return_counts=True)
+        pieces = np.array(encoder.count_all(list(distinct)), np.int64)
+        total = np.zeros(len(sizes), np.int64)
+        if len(pairs):
+            np.add.at(total, pairs // len(distinct), frequency * pieces[pairs % len(distinct)])
+        out.extend(total.tolist())
         held.clear()
         sizes.clear()
 

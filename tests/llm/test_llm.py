@@ -743,3 +743,17 @@ def test_contradicting_labels_and_repeated_ids(spark):
     less = toxicity.fit(docs.where("doc_id <> 3"), spark.createDataFrame(labels, schema), queries.TOXICITY)
     odd = toxicity.fit(docs, spark.createDataFrame(labels + [(3, 1, 1)], schema), queries.TOXICITY)
     assert all((a == b).all() for a, b in zip(less.weights, odd.weights))
+
+
+def test_shortcuts_are_off_for_a_vocabulary_that_tells_cases_apart(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    kinds = {x: i for i, x in enumerate(["[u]", *"thebTHEaspr", ".</w>", ",</w>", "e</w>", "E</w>"])}
+    t = Tokenizer(models.BPE(kinds, [], unk_token="[u]", end_of_word_suffix="</w>"))
+    t.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
+    t.save(str(tmp_path / "v.json"))
+    encoder = recent.PretokenEncoder(str(tmp_path / "v.json"))
+    assert encoder.ends is None
+    parts = ["The", "THE", "the,", "tHe."]
+    assert [np.frombuffer(p, "<u2").tolist() for p in encoder.pack_all(parts)] == [t.encode(p).ids for p in parts]
+    assert recent.PretokenEncoder.of(WORDS).ends is not None
