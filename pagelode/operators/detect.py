@@ -79,7 +79,9 @@ def browser_reason(status: Column, body: Column) -> Column:
     for mark in rules.CHALLENGE_MARKS:
         marked = marked | low.contains(mark)
     sparse = F.char_length(strip_tags(F.coalesce(body, F.lit("")), " ")) < rules.SPARSE_TEXT
-    return F.when(status == 403, "http_403").when(low.contains("cloudflare") & marked, "cloudflare_challenge").when((status == 200) & sparse, "sparse_content")
+    return (
+        F.when(status == 403, rules.BROWSER_REFUSED).when(low.contains("cloudflare") & marked, rules.BROWSER_CHALLENGE).when((status == 200) & sparse, rules.BROWSER_EMPTY)
+    )
 
 
 def best_candidates(candidates: DataFrame, key: str, url: str = "url", rank: str = "rank", top: int = 3) -> DataFrame:

@@ -78,7 +78,7 @@ def with_validation(pages: DataFrame, url: str = "url", html: str = "html", prov
     """pages with is_valid, confidence of the verdict, reason_code, suspect and signals."""
     body = F.coalesce(F.col(html), F.lit(""))
     out = (
-        pages.withColumn("_t", json_ld_types(body))
+        pages.withColumn("_t", F.when(body.rlike("(?i)application/ld\\+json"), json_ld_types(body)).otherwise(F.array().cast("array<string>")))
         .withColumn("_og", (F.lower(_either(body, rules.OG_TYPE)) == "article") & body.rlike(rules.PUBLISHED_TIME))
         .withColumn("_no", body.rlike(rules.NOINDEX))
         .withColumn("_ca", _either(body, rules.CANONICAL).rlike(rules.CANONICAL_REJECT))
@@ -109,12 +109,18 @@ def with_validation(pages: DataFrame, url: str = "url", html: str = "html", prov
     for condition, valid, confidence, reason, suspect in reversed(table):
         row = F.struct(F.lit(valid).alias("is_valid"), F.lit(confidence).alias("verdict_confidence"), F.lit(reason).alias("reason_code"), F.lit(suspect).alias("suspect"))
         verdict = F.when(F.coalesce(condition, F.lit(False)), row).otherwise(verdict)
-    signals = F.array_compact(
+    one = lambda *parts: F.array(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)))
+    weak = F.array_compact(
         F.array(
-            F.when(posting, "json_ld:JobPosting"), F.when(other, "json_ld:non_job"), F.when(c("_og"), "og:article"), F.when(c("_no"), "noindex"), F.when(c("_ca"), "canonical"),
-            F.when(c("_ats"), F.concat(F.lit("ats:"), c(provider))), F.when(c("_sp"), "sparse_text"), F.when(c("_u"), "url_pattern"), F.when(c("_h"), "title_match"),
-            F.when(~body.rlike(rules.LIST_SIGNAL), "no_job_list_signals"),
+            F.when(c("_u"), rules.URL_SIGNAL), F.when(c("_h"), rules.TITLE_SIGNAL), F.when(c("_sp"), rules.SPARSE_SIGNAL),
+            F.when(~body.rlike(rules.LIST_SIGNAL), rules.NO_LIST_SIGNAL),
         )
     )
+    # The signals seen up to the rule that decides.
+    first = F.get(F.filter(c("_t"), lambda t: t.isin(rules.NON_JOB_TYPES)), F.lit(0))
+    signals = (
+        F.when(posting, one(rules.POSTING_SIGNAL)).when(other, one(rules.NON_JOB_SIGNAL, first)).when(c("_og"), one(rules.ARTICLE_SIGNAL)).when(c("_no"), one(rules.NOINDEX_SIGNAL))
+        .when(c("_ca"), one(rules.CANONICAL_SIGNAL, _either(body, rules.CANONICAL))).when(c("_ats"), one(rules.ATS_SIGNAL, c(provider))).otherwise(weak)
+    )
     out = out.withColumn("_v", verdict).withColumn("signals", signals)
     return out.withColumns({k: c("_v")[k] for k in ("is_valid", "verdict_confidence", "reason_code", "suspect")}).drop("_t", "_og", "_no", "_ca", "_ats", "_sp", "_u", "_h", "_v")

@@ -161,10 +161,18 @@ _VALID_SQL = f"""SELECT page_id, {_case([s[2] for s in _SIGNALS], 'page_id')} AS
  CAST({_case([str(s[4]) for s in _SIGNALS], 'page_id')} AS DOUBLE) AS verdict_confidence, page_id % {len(_SIGNALS)} >= 10 AS suspect FROM pages"""
 
 
-@query(_VALID_SQL)
+_SEEN = [
+    "schema_job_posting", "schema_non_job:NewsArticle", "og_article+published_time", "noindex_meta", "canonical_non_job:https://x.example/blog/1", "ats_detected:lever",
+    "url_pattern|title_match", "url_pattern", "title_match", "", "url_pattern|empty_or_sparse", "empty_or_sparse",
+]
+_LISTS = "job[-_]?card|job[-_]?listing|position[-_]?item|role[-_]?item|opening[-_]?row|data-job-id|class=[\"'']job|class=[\"'']position|class=[\"'']role|aria-label=[\"'']job\\s+posting"
+
+
+@query(f"""SELECT v.*, array_to_string(list_filter([{_case(_SEEN, 'page_id')}, CASE WHEN page_id % 12 >= 10 OR page_id % 12 >= 6 AND NOT regexp_matches(html, '(?i)({_LISTS})') THEN 'no_job_list_signals' ELSE '' END],
+ lambda x: x <> ''), '|') AS signals FROM ({_VALID_SQL}) v JOIN (SELECT page_id, html FROM pages) USING (page_id)""")
 def validate_pages(spark, sf_dir):
     rows = validate.with_validation(detect.with_detection(_signalled(spark, sf_dir)))
-    return rows.select("page_id", "reason_code", "is_valid", "verdict_confidence", "suspect")
+    return rows.select("page_id", "reason_code", "is_valid", "verdict_confidence", "suspect", F.array_join("signals", "|").alias("signals"))
 
 
 @query(f"WITH v AS ({_VALID_SQL}) SELECT reason_code, count(*) AS pages, CAST(sum(CASE WHEN is_valid THEN 0 ELSE 1 END) AS BIGINT) AS rejected, count(*) / sum(count(*)) OVER () AS share FROM v GROUP BY reason_code")
@@ -173,7 +181,7 @@ def reject_rate(spark, sf_dir):
 
 
 @query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'http_403' WHEN 1 THEN 'cloudflare_challenge_body' WHEN 2 THEN 'cloudflare_challenge_body' END AS challenge,
- CASE page_id % 5 WHEN 0 THEN 'http_403' WHEN 2 THEN 'cloudflare_challenge' WHEN 3 THEN 'sparse_content' END AS browser FROM pages""")
+ CASE page_id % 5 WHEN 0 THEN 'TIER3_403' WHEN 2 THEN 'TIER3_CLOUDFLARE' WHEN 3 THEN 'TIER3_EMPTY_200' END AS browser FROM pages""")
 def escalation_reason(spark, sf_dir):
     k = F.col("page_id") % 5
     body = F.when(k == 1, F.concat(F.lit("<p>Just a moment</p>"), "html")).when(k == 2, F.concat(F.lit("<p>Cloudflare: checking your browser</p>"), "html")).when(k == 3, "<p>x</p>").otherwise(F.col("html"))

@@ -76,6 +76,21 @@ NON_JOB_TYPES = ["BlogPosting", "NewsArticle", "Article"]
 TITLE_SCAN = 4096
 SPARSE_TEXT = 200
 
+# Names of the page validator's signals, and codes of why a page needs a browser.
+POSTING_SIGNAL = "schema_job_posting"
+NON_JOB_SIGNAL = "schema_non_job:"
+ARTICLE_SIGNAL = "og_article+published_time"
+NOINDEX_SIGNAL = "noindex_meta"
+CANONICAL_SIGNAL = "canonical_non_job:"
+ATS_SIGNAL = "ats_detected:"
+URL_SIGNAL = "url_pattern"
+TITLE_SIGNAL = "title_match"
+SPARSE_SIGNAL = "empty_or_sparse"
+NO_LIST_SIGNAL = "no_job_list_signals"
+BROWSER_REFUSED = "TIER3_403"
+BROWSER_CHALLENGE = "TIER3_CLOUDFLARE"
+BROWSER_EMPTY = "TIER3_EMPTY_200"
+
 # Patterns of the extractors.
 TAG = r"<[^>]+>"
 OPEN_TAG = r"<[^>]+"
