@@ -1,25 +1,35 @@
 """SentencePiece encoding and decoding by a weighted transducer.
 
-Method: the model file compiles into three machines. The normaliser rewrites characters to the pieces' alphabet
-(blanks to U+2581, one in front). The piece machine is a trie whose leaves emit a piece; its arcs weigh the
-piece's cost. The fallback machine emits the bytes of a character that no piece holds. Composing them with
-an input gives a lattice over its characters, and the least weight in the tropical semiring (min, +) picks the path.
-
-For a unigram model an arc weighs minus the piece's score. For a BPE model the weight also depends on the
-piece before: 0 if merging the two pieces' characters by the model's rules gives the two pieces again, infinite
-otherwise. A path of finite weight is then the result of the merges, and there is exactly one to each place of the
-input, because a merge across a border inside the whole would happen inside the two pieces alone, too.
-
+Method: the model file compiles into three machines.
+Normaliser (`Rewriter`): a trie over bytes whose arcs end in replacements; from each place the longest one is
+taken, else the character is copied. Blanks then become U+2581, one in front.
+Pieces (`PieceTransducer.trie`): a trie over characters whose final states emit a piece.
+Fallback (`PieceTransducer.fallback`): emits the bytes of a character that isn't a piece, or the unknown piece.
+Composing the last two with a normalised part gives a lattice over its characters, whose arcs are made when a
+place is settled (`_arcs`). The path of least weight in the tropical semiring (min, +) is found by relaxing them.
+
+For a unigram model an arc weighs minus the piece's score; places are settled from left to right, which any sign allows.
+For a BPE model the weight depends on the piece before, too: 0 if merging the two pieces' characters by the model's
+rules gives the two pieces again, infinite otherwise. Exactly one path of finite weight leads to each place, because a
+merge across a border inside the whole would happen inside the two pieces alone, too; so one piece before is kept for each
+place, and the path to the end is the result of the merges. There an arc's weight is found only when the arc is the least in
+the queue (0 bounds it from below), of equals the one that ends last, until the end is settled.
+
+User-defined pieces aren't rewritten. In a unigram model they're arcs of the library's own weight, in a BPE model
+no merge crosses them, so the parts between them are composed apart.
 Inputs are cut where no piece can reach across (before a blank that follows another character; around a line feed),
 so each distinct part is composed once while it stays in a cache of bounded size.
 
 Defined cases: a null or empty text has no ids; text that isn't in any piece becomes byte pieces (or the unknown piece in
 a model without them); ids outside the vocabulary can't be decoded (ValueError); invalid byte sequences decode to U+FFFD
-for each byte. Model files with a table of character rewrites or user-defined pieces are refused.
+for each byte. Repeated rows are each encoded, rows with a null doc_id too; columns other than doc_id and the text are
+dropped, so their names don't matter. Refused: BPE models with unused pieces, with characters that aren't pieces, and user-defined
+pieces that hold blanks.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 import zlib
@@ -68,31 +78,105 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             i += size
 
 
+class Rewriter:
+    """The normaliser's machine: the model file's table of rewrites, and user-defined pieces that stay as they are.
+
+    The table is a double array of 32-bit units (arcs by byte; a state's output is the place of its replacement, which ends
+    with a zero byte) in front of the replacements."""
+
+    def __init__(self, table: bytes, kept: list[str]) -> None:
+        size = struct.unpack_from("<I", table)[0] if table else 0
+        self.units = np.frombuffer(table, "<u4", size // 4, 4).tolist() if table else []
+        self.replacements = table[4 + size :]
+        self.kept = any_of(kept)
+        self._known: dict[int, bytes] = {}
+
+    def _replacement(self, place: int) -> bytes:
+        if place not in self._known:
+            self._known[place] = self.replacements[place : self.replacements.index(0, place)]
+        return self._known[place]
+
+    def _longest(self, data: bytes, i: int) -> tuple[int, bytes]:
+        """End and replacement of the longest rewrite at i; the end is i if there's none."""
+        units, end, place = self.units, i, 0
+        state = _first_arc(units[0])
+        for j in range(i, len(data)):
+            state ^= data[j]
+            unit = units[state]
+            if unit & 0x800000FF != data[j]:
+                break
+            state ^= _first_arc(unit)
+            if unit >> 8 & 1:
+                end, place = j + 1, units[state] & 0x7FFFFFFF
+        return end, self._replacement(place) if end > i else b""
+
+    def _rewritten(self, text: str) -> str:
+        if not self.units:
+            return text
+        data, out, i = text.encode(), [], 0
+        while i < len(data):
+            end, new = self._longest(data, i)
+            if end == i:
+                b = data[i]
+                end = i + (1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4)
+                new = data[i:end]
+            out.append(new)
+            i = end
+        return b"".join(out).decode()
+
+    def __call__(self, text: str) -> str:
+        if self.kept is None:
+            return self._rewritten(text)
+        return "".join(x if k % 2 else self._rewritten(x) for k, x in enumerate(self.kept.split(text)))
+
+
+def _first_arc(unit: int) -> int:
+    """Where a state's arcs begin, relative to it."""
+    return unit >> 10 << ((unit & 0x200) >> 6)
+
+
+def any_of(texts: list[str]) -> re.Pattern | None:
+    """A pattern, as a group, of the longest of some texts."""
+    return re.compile("(" + "|".join(map(re.escape, sorted(texts, key=len, reverse=True))) + ")") if texts else None
+
+
 class PieceTransducer:
-    def __init__(self, pieces: list[tuple[str, float, int]], bpe: bool, dummy_prefix: bool = True, squeeze: bool = False) -> None:
+    def __init__(self, pieces: list[tuple[str, float, int]], bpe: bool, dummy_prefix: bool = True, squeeze: bool = False, rewrites: bytes = b"") -> None:
         self.pieces, self.bpe, self.dummy_prefix, self.squeeze = pieces, bpe, dummy_prefix, squeeze
+        user = [p[0] for p in pieces if p[2] == USER]
+        if any(" " in x or BLANK in x for x in user):
+            raise ValueError("user-defined pieces with blanks aren't supported")
+        self.rewriter = Rewriter(rewrites, user) if rewrites or user else None
+        self.user = any_of(user) if bpe else None
+        self.user_ids = {p[0]: i for i, p in enumerate(pieces) if p[2] == USER}
+        self.weights = [-p[1] for p in pieces]
         self.trie: dict = {}
         self.ids: dict[str, int] = {}
         self.byte_ids: dict[int, int] = {}
         self.unknown = 0
+        normal = [p for p in pieces if p[2] == NORMAL]
+        best = max((p[1] for p in normal), default=0.0)
         for i, (text, _, kind) in enumerate(pieces):
-            if kind == NORMAL:
+            if kind == NORMAL or (kind == USER and not bpe):
                 node = self.trie
                 for ch in text:
                     node = node.setdefault(ch, {})
                 node[""] = i
-                self.ids[text] = i
+                if kind == NORMAL:
+                    self.ids[text] = i
+                else:
+                    self.weights[i] = 0.1 - len(text.encode()) * best
             elif kind == BYTE:
                 self.byte_ids[int(text[1:-1], 16)] = i
             elif kind == UNKNOWN:
                 self.unknown = i
-            elif kind == USER:
-                raise ValueError("user-defined pieces aren't supported")
-        self.worst = min((p[1] for p in pieces if p[2] == NORMAL), default=0.0)
+            elif kind == UNUSED and bpe:
+                raise ValueError("a merge model with unused pieces isn't supported")
+        self.worst = min((p[1] for p in normal), default=0.0)
         lone = {ch for p in pieces if p[2] == NORMAL for ch in p[0]} - self.ids.keys()
         if bpe and lone:
             raise ValueError("a merge model whose characters aren't all pieces isn't supported")
-        inner = "".join(sorted({p[0] for p in pieces if p[2] == NORMAL and len(p[0]) > 1}))
+        inner = "".join(sorted({p[0] for p in pieces if p[2] in (NORMAL, USER) and len(p[0]) > 1}))
         # Parts end before a blank only if no piece holds one behind another character.
         self.cut_blank = not any(re.search(f"[^{BLANK}]{BLANK}", p[0]) for p in pieces if p[2] == NORMAL)
         self.cut_feed = "\n" not in inner
@@ -115,9 +199,7 @@ class PieceTransducer:
                 trainer = dict(_fields(value))
             elif field == 3:
                 rules = dict(_fields(value))
-        if rules.get(2):
-            raise ValueError("a table of character rewrites isn't supported")
-        return cls(pieces, trainer.get(3, 1) == 2, bool(rules.get(3, 1)), bool(rules.get(4, 1)))
+        return cls(pieces, trainer.get(3, 1) == 2, bool(rules.get(3, 1)), bool(rules.get(4, 1)), rules.get(2, b""))
 
     # composition and shortest path
 
@@ -135,52 +217,61 @@ class PieceTransducer:
             symbols[where : where + 2] = [symbols[where] + symbols[where + 1]]
         return symbols
 
+    def fallback(self, ch: str) -> list[int]:
+        """What the fallback machine emits for a character."""
+        return [self.byte_ids[b] for b in ch.encode()] if self.byte_ids else [self.unknown]
+
+    def _arcs(self, s: str, i: int) -> list[tuple[int, int]]:
+        """End and piece of the arcs from place i, shortest first; the fallback's arc has piece -1.
+
+        A BPE model's characters are all pieces, so the fallback's arc is there only without another."""
+        out, node, j, n = [], self.trie.get(s[i]), i, len(s)
+        while node is not None:
+            j += 1
+            if "" in node:
+                out.append((j, node[""]))
+            node = node.get(s[j]) if j < n else None
+        if not out or out[0][0] > i + 1:
+            out.insert(0, (i + 1, -1))
+        return out
+
     def shortest(self, s: str) -> list[int]:
         """Ids along the path of least weight through the lattice of a normalised part; -1 - k for the k-th character as unknown."""
-        return self._shortest_bpe(s) if self.bpe else self._shortest_unigram(s)
-
-    def _shortest_bpe(self, s: str) -> list[int]:
-        """The one path of finite weight, composed lazily: the longest piece first, back where no piece follows.
+        last, came = self._relaxed_bpe(s) if self.bpe else self._relaxed_unigram(s)
+        out, j = [], len(s)
+        while j:
+            i = came[j]
+            out.append(last[j] if last[j] >= 0 else -1 - i)
+            j = i
+        return out[::-1]
 
-        Only one finite path leads to a place, so a place that can't be left is never tried again."""
-        n, root, pairs = len(s), self.trie, self._pairs
-        out: list[int] = []
-        stack: list[tuple[int, list[tuple[int, int]]]] = []
-        dead: set[int] = set()
-        i, before = 0, -1
-        choices: list[tuple[int, int]] | None = None
+    def _relaxed_bpe(self, s: str) -> tuple[dict[int, int], dict[int, int]]:
+        """The last piece of the best path to each settled place, and where it begins: the least arc first, until the end is settled."""
+        n, pairs = len(s), self._pairs
+        last: dict[int, int] = {0: -1}
+        came: dict[int, int] = {}
+        queue: list[tuple[int, int, int]] = []
+        # Finite weights are all 0, so the queue orders arcs by their end alone: the last place first.
+        i = 0
         while i < n:
-            if choices is None:
-                choices, node, j = [], root.get(s[i]), i
-                while node is not None:
-                    j += 1
-                    if "" in node:
-                        choices.append((j, node[""]))
-                    node = node.get(s[j]) if j < n else None
-                if not choices:
-                    choices.append((i + 1, -1 - i))
-            while choices:
-                j, piece = choices.pop()
-                if j in dead:
+            for j, piece in self._arcs(s, i):
+                if j not in last:
+                    heapq.heappush(queue, (-j, i, piece))
+            while True:
+                j, i, piece = heapq.heappop(queue)
+                j = -j
+                if j in last:
                     continue
-                if piece < 0:
-                    break
+                before = last[i]
                 key = before << 20 | piece if before >= 0 else -1 - piece
-                good = pairs.get(key)
-                if good is None:
-                    good = self._allowed(before, piece, key)
-                if good:
+                finite = piece < 0 or pairs.get(key)
+                if finite is None:
+                    finite = self._allowed(before, piece, key)
+                if finite:
                     break
-            else:
-                dead.add(i)
-                i, choices = stack.pop()
-                out.pop()
-                before = out[-1] if out else -1
-                continue
-            stack.append((i, choices))
-            out.append(piece)
-            before, i, choices = piece, j, None
-        return out
+            last[j], came[j] = piece, i
+            i = j
+        return last, came
 
     def _allowed(self, before: int, piece: int, key: int) -> bool:
         """Whether the merges keep the border between two pieces, or (before < 0) make up the piece."""
@@ -191,43 +282,33 @@ class PieceTransducer:
         self._pairs[key] = known
         return known
 
-    def _shortest_unigram(self, s: str) -> list[int]:
-        n = len(s)
+    def _relaxed_unigram(self, s: str) -> tuple[list[int], list[int]]:
+        """The last piece of the best path to each place, and where it begins."""
+        n, weights, unknown = len(s), self.weights, UNKNOWN_COST - self.worst
         cost = [0.0] + [float("inf")] * n
-        last: list[int | None] = [None] * (n + 1)
-        came = [0] * (n + 1)
+        last, came = [-1] * (n + 1), [0] * (n + 1)
         for i in range(n):
-            node, j, single = self.trie, i, False
-            while j < n and (node := node.get(s[j])) is not None:
-                j += 1
-                piece = node.get("")
-                if piece is not None:
-                    single |= j == i + 1
-                    weight = cost[i] - self.pieces[piece][1]
-                    if weight < cost[j]:
-                        cost[j], last[j], came[j] = weight, piece, i
-            if not single and cost[i] - self.worst + UNKNOWN_COST < cost[i + 1]:
-                cost[i + 1], last[i + 1], came[i + 1] = cost[i] - self.worst + UNKNOWN_COST, -1, i
-        return self._path(last, came, n)
-
-    @staticmethod
-    def _path(last: list, came: list[int], n: int) -> list[int]:
-        out, j = [], n
-        while j:
-            i = came[j]
-            out.append(last[j] if last[j] >= 0 else -1 - i)
-            j = i
-        return out[::-1]
+            for j, piece in self._arcs(s, i):
+                weight = cost[i] + (weights[piece] if piece >= 0 else unknown)
+                if weight < cost[j]:
+                    cost[j], last[j], came[j] = weight, piece, i
+        return last, came
 
     def _ids(self, part: str) -> list[int]:
-        out = []
+        if self.user is not None:
+            pieces = self.user.split(part)
+            return [x for k, p in enumerate(pieces) for x in ([self.user_ids[p]] if k % 2 else self._plain_ids(p))]
+        return self._plain_ids(part)
+
+    def _plain_ids(self, part: str) -> list[int]:
+        out: list[int] = []
         for x in self.shortest(part):
             if x >= 0:
                 out.append(x)
-            elif self.byte_ids:
-                out += [self.byte_ids[b] for b in part[-1 - x].encode()]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
+            else:
+                new = self.fallback(part[-1 - x])
+                if self.byte_ids or out[-1:] != new:
+                    out += new
         return out
 
     def _packed(self, part: str, cache: Recent, key: str) -> bytes:
@@ -242,10 +323,12 @@ class PieceTransducer:
         """The ids of a text as little-endian numbers of 32 bits."""
         if not text:
             return b""
+        if self.rewriter is not None:
+            text = self.rewriter(text)
         if self.squeeze:
-            text = " ".join(x for x in text.split(" ") if x)
-            if not text:
-                return b""
+            text = " ".join(x for x in text.split(" ") if x).rstrip(" " + BLANK)
+        if not text:
+            return b""
         plain = BLANK not in text
         if not self.cut_blank:
             return self._packed((BLANK if self.dummy_prefix else "") + text.replace(" ", BLANK), Recent(PARTS), "")

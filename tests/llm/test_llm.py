@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -117,6 +118,50 @@ def test_unigram_takes_the_least_cost():
     assert m.encode("azzb") == [1, 0, 2]
 
 
+def _message(*fields):
+    """A protocol-buffer message of (number, int or float or bytes)."""
+    out = b""
+    for k, v in fields:
+        if isinstance(v, float):
+            out += bytes([k << 3 | 5]) + struct.pack("<f", v)
+        else:
+            n = v if isinstance(v, int) else len(v)
+            size = bytearray()
+            while n > 127:
+                size.append(n & 127 | 128)
+                n >>= 7
+            size.append(n)
+            out += bytes([k << 3 | (0 if isinstance(v, int) else 2)]) + bytes(size) + (b"" if isinstance(v, int) else v)
+    return out
+
+
+_NORMAL = [("▁", -2.0), ("a", -3.0), ("b", -3.5), ("c", -4.0), ("à", -5.0), ("1", -5.5), ("▁a", -2.25), ("ab", -2.5), ("abc", -2.75), ("▁ab", -2.125), ("ca", -4.5), ("1a", -6.0)]
+
+
+@pytest.fixture(scope="module", params=[(1, False), (1, True), (2, False), (2, True)], ids=["unigram", "unigram-plain", "bpe", "bpe-plain"])
+def rewriting(request, tmp_path_factory):
+    """The library and the machine on a small model with the library's own table of rewrites, and user-defined pieces."""
+    import sentencepiece
+
+    kind, keep_blanks = request.param
+    spec = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    rules = next(v for k, v in sentencepiece_wfst._fields(spec) if k == 3)
+    table = next(v for k, v in sentencepiece_wfst._fields(rules) if k == 2)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("<x>", 0.0, 4), ("ﬁ", 0.0, 4), *((t, s, 1) for t, s in _NORMAL)]
+    model = b"".join(_message((1, _message((1, t.encode()), (2, s), (3, k)))) for t, s, k in pieces)
+    model += _message((2, _message((3, kind))), (3, _message((1, b"own"), (2, table), (3, 1), (4, 0 if keep_blanks else 1), (5, 1))))
+    path = tmp_path_factory.mktemp("model") / "own.model"
+    path.write_bytes(model)
+    return sentencepiece.SentencePieceProcessor(model_file=str(path)), sentencepiece_wfst.transducer(str(path))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(list("abc1 \t\n▁xf") + ["ａ", "à", "a\u0300", "①", "ﬁ", "ﬀ", "<x>", "<", "\u3000", "\u200b", "Å", "日", "  "]), max_size=24).map("".join))
+def test_rewrites_and_user_pieces_equal_the_library(rewriting, text):
+    library, machine = rewriting
+    assert machine.encode(text) == library.encode(text)
+
+
 def test_pieces_of_a_table(spark, docs, edges, nothing, library):
     rows = docs.select("doc_id", "text").collect()
     got = {r.doc_id: r for r in sentencepiece_wfst.digests(docs, PIECES).collect()}
