@@ -185,11 +185,16 @@ def robots_url(u: Column) -> Column:
 
 
 def ashby_slug(u: Column, html: Column) -> Column:
-    """The organisation's name from the page (its JSON first, then its links), else from the URL's path."""
+    """The organisation's name from the page (its JSON first, then its links), else from the URL: its path's first part but for `api`, else its host's first label."""
     in_json = F.nullif(F.regexp_extract(html, rules.ASHBY_SLUG_JSON, 1), F.lit(""))
     in_links = F.get(F.filter(F.regexp_extract_all(html, F.lit(rules.ASHBY_SLUG_URL), F.lit(1)), lambda s: ~s.isin("api", "job-board")), F.lit(0))
-    in_url = F.nullif(F.regexp_extract(path_of(u), r"^/*([^/]+)", 1), F.lit(""))
-    return F.coalesce(in_json, in_links, in_url)
+    segment = F.regexp_extract(path_of(u), r"^/*([^/]+)", 1)
+    return F.coalesce(in_json, in_links, F.when(~segment.isin("", "api"), segment), F.regexp_extract(netloc(u), r"^([^.]*)", 1))
+
+
+def ashby_payload(slug: Column, question: str) -> Column:
+    """The body of a board's GraphQL request: the question that the caller gives, and the board's name as its variable."""
+    return F.to_json(F.struct(F.lit(question).alias("query"), F.struct(slug.alias("organizationHostedJobsPageName")).alias("variables")))
 
 
 def url_score(u: Column) -> Column:

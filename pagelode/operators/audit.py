@@ -41,3 +41,8 @@ def outcome_tally(scraped: DataFrame) -> DataFrame:
         F.count_if(F.col("error").isNotNull()).alias("failed"), F.count_if(F.col("error").isNull() & (F.size("jobs") > 0)).alias("with_jobs"),
         F.count_if(F.col("error").isNull() & (F.size("jobs") == 0)).alias("without_jobs"),
     )
+
+
+def status_rollup(events: DataFrame) -> DataFrame:
+    """Events by source, model and status, with their totals (null where summed over)."""
+    return events.rollup("source", "model", "status").agg(F.count("*").alias("events"))

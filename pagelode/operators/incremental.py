@@ -28,7 +28,24 @@ def next_state(entries: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def conditional(fetches: DataFrame, state: DataFrame) -> DataFrame:
-    """fetches (url, etag, content) with not_modified and the content to use: an unchanged etag answers from the state's content."""
-    old = state.select("url", F.col("etag").alias("_e"), F.col("content").alias("_c"))
+    """fetches (url, etag, content; last_modified where known) with not_modified and the content to use: an unchanged etag, or without one
+    an unchanged last_modified, answers from the state's content."""
+    dated = "last_modified" in fetches.columns and "last_modified" in state.columns
+    old = state.select("url", F.col("etag").alias("_e"), F.col("content").alias("_c"), *([F.col("last_modified").alias("_l")] if dated else []))
     same = F.col("etag").isNotNull() & F.col("etag").eqNullSafe(F.col("_e"))
+    if dated:
+        same = same | (F.col("etag").isNull() & F.col("last_modified").isNotNull() & F.col("last_modified").eqNullSafe(F.col("_l")))
     return fetches.join(old, "url", "left").select("url", "etag", same.alias("not_modified"), F.when(same, F.col("_c")).otherwise(F.col("content")).alias("content"))
+
+
+def latest_before(events: DataFrame, scrapes: DataFrame, key: str = "url") -> DataFrame:
+    """events (key, ts) with prev_ts and prev_hash of the last scrape (key, ts, content_hash) at or before each: an as-of join by one
+    sort of both sides within each key."""
+    from pyspark.sql import Window
+
+    keep = [c for c in events.columns if c not in (key, "ts")]
+    left = events.select(key, "ts", F.lit(1).alias("_side"), F.struct(*keep).alias("_e") if keep else F.lit(True).alias("_e"), F.lit(None).cast("struct<ts:timestamp,content_hash:string>").alias("_s"))
+    right = scrapes.select(key, "ts", F.lit(0).alias("_side"), F.lit(None).alias("_e"), F.struct(F.col("ts").cast("timestamp").alias("ts"), "content_hash").alias("_s"))
+    upto = Window.partitionBy(key).orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    joined = left.unionByName(right).withColumn("_last", F.last("_s", ignorenulls=True).over(upto)).where("_side = 1")
+    return joined.select(key, "ts", *([F.col("_e")[k].alias(k) for k in keep]), F.col("_last")["ts"].alias("prev_ts"), F.col("_last")["content_hash"].alias("prev_hash"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelode import rules
 from pagelode.functions.text import content_hash, strip_tags
 from pagelode.functions import urls
-from pagelode.operators.detect import UNKNOWN, with_detection
+from pagelode.operators.detect import UNKNOWN, browser_reason, challenge_reason, with_detection
 from pagelode.operators.listings import LISTING, Parser, listings_by_provider
 from pagelode.operators.validate import with_validation
 
@@ -73,6 +73,23 @@ def scrape(fetches: DataFrame, previous: DataFrame | None = None, fallback: Pars
     )
 
 
+def with_fetch_tier(fetches: DataFrame) -> DataFrame:
+    """fetches (status_code, content, and those of the attempts of the second and third tier: tier2_status, tier2_content, tier3_status,
+    tier3_content, null where there was none) with fetch_tier, tier3_reason, and status_code and content of the tier that answers.
+
+    The second tier stands in for a challenged first one if it succeeds; the third for what then still needs a browser, if it succeeds."""
+    c = F.col
+    second = challenge_reason(c("status_code"), c("content")).isNotNull() & fetch_ok(c("tier2_status"))
+    rows = fetches.withColumn("_t2", second).withColumn("_s", F.when(second, c("tier2_status")).otherwise(c("status_code")))
+    rows = rows.withColumn("_c", F.when(second, c("tier2_content")).otherwise(c("content"))).withColumn("tier3_reason", browser_reason(c("_s"), c("_c")))
+    third = c("tier3_reason").isNotNull() & fetch_ok(c("tier3_status"))
+    return (
+        rows.withColumn("fetch_tier", F.when(third, 3).when(c("_t2"), 2).otherwise(1))
+        .withColumn("status_code", F.when(third, c("tier3_status")).otherwise(c("_s"))).withColumn("content", F.when(third, c("tier3_content")).otherwise(c("_c")))
+        .drop("_t2", "_s", "_c", "tier2_status", "tier2_content", "tier3_status", "tier3_content")
+    )
+
+
 def group_key(provider: Column, api: Column, url: Column) -> Column:
     """Pages of one provider API are one piece of work; other pages are by their URL."""
     return F.coalesce(F.concat(provider, F.lit("|"), api), F.concat(F.lit("url|"), url))

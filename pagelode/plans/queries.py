@@ -4,30 +4,18 @@ The driver's pages carry no provider or validator signals, so queries of those o
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode.functions import text, urls
 from pagelode.operators import audit, detect, incremental, listings, model_output, scrape, validate
 from pagelode.plans.payloads import CUSTOMERS_SQL, PAYLOADS, customers, parse_oracle, parse_query, payload_pages
+from pagelode.plans import tier_queries  # noqa: F401 (registers its queries)
+from pagelode.plans.registry import ORACLES, QUERIES, query
 from pagelode.sources import fetches, sitemaps
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {f"parse_{p}": parse_query(p) for p in PAYLOADS}
-ORACLES: dict[str, str] = {f"parse_{p}": parse_oracle(p) for p in PAYLOADS}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+QUERIES |= {f"parse_{p}": parse_query(p) for p in PAYLOADS}
+ORACLES |= {f"parse_{p}": parse_oracle(p) for p in PAYLOADS}
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +83,11 @@ def clean_text_lines(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", text.clean_lines(F.col("html")).alias("cleaned"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+c AS (SELECT doc_id, n, line, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) AS BIGINT) AS upto FROM l),
+r AS (SELECT doc_id, -1 AS pos, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS done, CAST(0 AS BIGINT) AS base FROM documents UNION ALL
+ SELECT r.doc_id, r.pos + 1, r.done + 1, max(c.n), max(c.upto) FROM r JOIN c ON r.doc_id = c.doc_id AND c.n > r.done AND (c.n = r.done + 1 OR c.upto - 1 - r.base <= 2000) GROUP BY r.doc_id, r.pos, r.done)
+SELECT r.doc_id, r.pos, string_agg(c.line, chr(10) ORDER BY c.n) AS chunk FROM r JOIN c ON r.doc_id = c.doc_id AND c.n BETWEEN r.first AND r.done WHERE r.pos >= 0 GROUP BY r.doc_id, r.pos""")
 def chunk_text(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", F.posexplode(text.chunk_lines(F.coalesce("text", F.lit("")), 2000)).alias("pos", "chunk"))

@@ -194,3 +194,30 @@ def test_change_stream(spark, tmp_path):
     assert got == [("a", False), ("a", True), ("b", True), ("b", True)]
     ev = spark.createDataFrame([("s", "m", "2024-01-01 00:00:00", "salvaged"), ("s", "m", "2024-01-01 00:30:00", "clean")], "source string, model string, ts string, status string")
     assert {r.rate for r in salvage_stream(ev).collect()} == {0.5}
+
+
+def test_field_list_and_schema_edges(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from pagelode.operators import extraction
+
+    schema = StructType([StructField("title", StringType(), metadata={"comment": "Job title. Required"}), StructField("url", StringType())])
+    assert extraction.field_list(schema) == "  title: Job title\n  url"
+    rows = spark.createDataFrame([(None,), ("",), ("[]",), ("{}",), ('{"items":[3]}',), ('[{"title":"t","url":"u","posted_at":"2026-04-16"}]',), ('[{"title":"t","url":"u","posted_at":"soon"}]',)], "a string")
+    assert [r[0] for r in rows.select(F.size(extraction.schema_listings(F.col("a")))).collect()] == [0, 0, 0, 0, 0, 1, 0]
+
+
+def test_tiers_ask_only_where_nothing_was_found(spark):
+    from pagelode.operators import extraction
+
+    data = '<script type="application/ld+json">{"@type":"JobPosting","title":"a","url":"https://x/1"}</script><p>text</p>'
+    pages = spark.createDataFrame([(1, data), (2, "<nav>menu</nav><p>text</p>"), (3, None), (4, "")], "k int, html string")
+
+    def model(texts, limit):
+        assert texts == ["text"]
+        return [('[{"title":"b","url":"https://x/2"}]', False)]
+
+    got = {r.k: (r.tier, [j.title for j in r.jobs]) for r in extraction.extract(pages.coalesce(1), model).collect()}
+    assert got == {1: (0, ["a"]), 2: (2, ["b"]), 3: (None, []), 4: (None, [])}
+    assert [r.tier for r in extraction.extract(pages).orderBy("k").collect()] == [0, None, None, None]
