@@ -38,9 +38,30 @@ def salvage_stream(events: DataFrame, width: str = "24 hours", slide: str = "1 h
     return timed.groupBy(F.window("ts", width, slide), "source", "model").agg(F.count("*").alias("n"), rate.alias("rate"))
 
 
-def first_in_lifetime(events: DataFrame, key: str, lifetime: str = "3600 seconds") -> DataFrame:
-    """A stream of (key, ts) without the events that a cache of this lifetime would answer."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lifetime).dropDuplicatesWithinWatermark([key])
+def first_in_lifetime(events: DataFrame, key: str, lifetime: int = 3600, late: str = "1 hour") -> DataFrame:
+    """Of a stream of (key, ts) those events that a cache of this lifetime, in seconds, doesn't answer: the first of a key, and the first
+    after the kept one has expired. A key's state leaves when the watermark passes its end, so idle keys cost nothing."""
+    ship_package(events.sparkSession)
+    span = lifetime * 1_000_000
+    timed = events.select(F.col(key).alias("_key"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late).withColumn("_us", F.unix_micros("ts"))
+
+    def update(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        filled = state.get[0] if state.exists else None
+        missed = []
+        for t in sorted(int(t) for part in parts for t in part["_us"]):
+            if filled is None or t >= filled + span:
+                missed.append(t)
+                filled = t
+        state.update((filled,))
+        state.setTimeoutTimestamp(max((filled + span) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"key": [keys[0]] * len(missed), "us": missed}).astype({"us": "int64"})
+
+    kind = timed.schema["_key"].dataType.simpleString()
+    found = timed.groupBy("_key").applyInPandasWithState(update, f"key {kind}, us long", "filled long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.col("key").alias(key), F.timestamp_micros("us").alias("ts"))
 
 
 def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

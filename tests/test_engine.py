@@ -221,3 +221,40 @@ def test_tiers_ask_only_where_nothing_was_found(spark):
     got = {r.k: (r.tier, [j.title for j in r.jobs]) for r in extraction.extract(pages.coalesce(1), model).collect()}
     assert got == {1: (0, ["a"]), 2: (2, ["b"]), 3: (None, []), 4: (None, [])}
     assert [r.tier for r in extraction.extract(pages).orderBy("k").collect()] == [0, None, None, None]
+
+
+def streamed(spark, folder, batches, schema, build):
+    """What a stream over some files, one at a time, appends."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"in/{k}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in/*"))
+    out, state = str(folder / "out"), str(folder / "state")
+    q = build(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def test_salvage_stream_drops_late_events(spark, tmp_path):
+    from pagelode.streaming.streams import salvage_stream
+
+    schema = "source string, model string, ts string, status string"
+    day = [("s", "m", "2026-01-01 00:30:00", "salvaged"), ("s", "m", "2026-01-01 00:40:00", "clean")]
+    later = [("s", "m", "2026-01-03 12:00:00", "clean")]
+    late = [("s", "m", "2026-01-01 00:50:00", "salvaged"), ("s", "m", "2026-01-06 00:00:00", "clean")]
+    between = [("s", "m", "2026-01-03 12:10:00", "clean")]  # an event is late by the watermark of the batch before
+    got = streamed(spark, tmp_path, [day, later, between, late], schema, lambda x: salvage_stream(x).select("window.start", "n", "rate"))
+    rows = {str(r.start): (r.n, r.rate) for r in got.collect()}
+    assert rows["2026-01-01 00:00:00"] == (2, 0.5) and rows["2026-01-03 12:00:00"] == (2, 0.0)
+
+
+def test_cache_lifetime_and_sessions_are_streams(spark, tmp_path):
+    from pagelode.streaming.streams import first_in_lifetime, sessions
+
+    schema = "k string, ts string"
+    batches = [[("a", "2026-01-01 00:00:00")], [("a", "2026-01-01 00:20:00"), ("b", "2026-01-01 00:20:00")], [("b", "2026-01-01 09:00:00")], [("a", "2026-01-01 09:30:00")]]
+    (tmp_path / "x").mkdir()
+    (tmp_path / "y").mkdir()
+    kept = streamed(spark, tmp_path / "x", batches, schema, lambda x: first_in_lifetime(x, "k"))
+    assert sorted((r.k, str(r.ts)[11:16]) for r in kept.collect()) == [("a", "00:00"), ("a", "09:30"), ("b", "00:20"), ("b", "09:00")]
+    spans = streamed(spark, tmp_path / "y", batches, schema, lambda x: sessions(x, "k").select("k", "session_window.start", "n"))
+    assert {(r.k, str(r.start)[11:16], r.n) for r in spans.collect()} >= {("a", "00:00", 2), ("b", "00:20", 1)}
