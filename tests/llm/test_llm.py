@@ -569,6 +569,28 @@ def test_chain_parts_toxic_texts(spark, data):
     assert len(chain.weights[1]) == len(chain.weights[0]) + 1
 
 
+def test_scores_are_those_of_a_plain_chain(docs, spark, data):
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    rows = [(r.text or "", labels[r.doc_id]) for r in docs.select("doc_id", "text").collect() if r.doc_id in labels] + [("", None), ("Ünï 7", None)]
+    known = [(t, m) for t, m in rows if m is not None]
+    marks = np.array([[float(m.quality == 0), float(m.toxic == 1)] for _, m in known])
+    chain = toxicity.ToxicityChain.fit(pa.array([t for t, _ in known]), marks, ["low_quality", "toxic"])
+    place = {h: k for k, h in enumerate(chain.hashes.tolist())}
+
+    def hashed(w):
+        return int(word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+
+    for (text, _), got in zip(rows, chain.predict(pa.array([t for t, _ in rows])), strict=True):
+        words_ = {w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", text.encode())}
+        parts = words_ | {w[:k] for w in words_ for k in toxicity.PREFIXES if len(w) > k}
+        present = {place[h] for h in map(hashed, parts) if h in place}
+        earlier = []
+        for w in chain.weights:
+            z = sum(w[k] for k in present) + sum(w[len(place) + k] * p for k, p in enumerate(earlier)) + w[-1]
+            earlier.append(1 / (1 + np.exp(-z)))
+        assert got == pytest.approx(earlier, abs=1e-9)
+
+
 def test_toxicity_edges(spark, edges, nothing, docs, data):
     labels = spark.read.parquet(f"{data}/labels.parquet")
     chain = toxicity.fit(docs, labels, queries.TOXICITY)
