@@ -54,6 +54,10 @@ KEPT = 800_000
 #: and four controls more.
 _BLANKS = re.compile("[ \n\t\r]+")
 _CONTROLS = "\x1c\x1d\x1e\x1f"
+#: Letters (but one whose lower case is two characters) that lower-casing maps one to one and composition leaves alone.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+#: A word of these, and the ASCII marks behind it.
+_CLEAN = re.compile(rf"([{_LETTERS}]+)([!-/:-@\[-`{{-~]*)")
 
 _encoders: dict[str, PretokenEncoder] = {}
 
@@ -67,27 +71,33 @@ class PretokenEncoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.counts, self.packed = Recent(KEPT), Recent(KEPT)
-        code = "H" if self.narrow else "I"
-        self.marks = dict(zip(".,", (struct.pack(f"<{len(i)}{code}", *i) for i in self._ids([".", ","])), strict=True))
         size = self.tokenizer.get_vocab_size()
         ends = np.zeros(1 << 16 if self.narrow else size, bool)
         ends[[i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
         self.ends = ends if ends.any() else None
+        # Lower-case words of letters need neither the normaliser nor the pattern of pre-tokens.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         probe = "Ab, c1's\n\t d  <|endoftext|> é ß"
         if self._ids([probe])[0] != [i for part in self._ids(self.pretokens(probe)) for i in part]:
             raise ValueError("this vocabulary joins text across white space")
         self._shortcuts_hold()
 
     def _shortcuts_hold(self) -> None:
-        """Turns the shortcuts of _packs off where a probe of cases and marks has other ids by them than by the library."""
-        probe = "The THE the Spark, SPARK. spark; USA, usa. Iowa zebra. Zebra QuIcKly, McDonald".split()
-        code = "H" if self.narrow else "I"
-        if self._packs(probe) != [struct.pack(f"<{len(i)}{code}", *i) for i in self._ids(probe)]:
+        """Turns the shortcuts of _packs off where a probe of cases, letters and marks has other ids by them than by the library."""
+        probe = "The THE the Spark, SPARK. spark; USA, usa. Iowa zebra. Zebra QuIcKly, McDonald it's dogs' Then### a.b <|endoftext|>".split()
+        letters = re.findall(f"[{_LETTERS}]", "".join(map(chr, range(0x180))))
+        probe += letters + ["".join(letters[i : i + 7]) for i in range(0, len(letters), 7)]
+        marks = re.findall(r"[!-/:-@\[-`{-~]", "".join(map(chr, range(128))))
+        probe += [f"Mark{a}" for a in marks] + [f"mark{a}{b}" for a in marks for b in marks[::5]]
+        if self._packs(probe) != self._library(probe):
             self.ends = None
         self.packed = Recent(KEPT)
 
@@ -107,40 +117,51 @@ class PretokenEncoder:
     def _ids(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _packs(self, parts: list[str]) -> list[bytes]:
-        """Packed ids. Words of ASCII letters, with or without a final stop or comma, share their lower-case form's ids, which
-        the cache may hold; unknown forms go through the library as one text, whose ids are parted behind each word end."""
+    def _library(self, parts: list[str]) -> list[bytes]:
+        """Packed ids by the library as it is."""
         code = "H" if self.narrow else "I"
+        return [struct.pack(f"<{len(i)}{code}", *i) for i in self._ids(parts)]
+
+    def _packs(self, parts: list[str]) -> list[bytes]:
+        """Packed ids. Words of _CLEAN share their lower-case form's ids, which the cache may hold, and marks behind them are a
+        piece of text of their own; unknown forms are encoded as one text, whose ids are parted behind each word end."""
+        if self.ends is None:
+            return self._library(parts)
         known = self.packed
-        forms: list[str | None] = []
+        forms: list[tuple[str, str] | None] = []
         base: dict[str, bytes | None] = {}
         rest: dict[str, bytes] = {}
         for p in parts:
-            word = p[:-1] if p[-1] in ".," else p
-            if self.ends is not None and word.isascii() and word.isalpha():
+            if found := _CLEAN.fullmatch(p):
+                word, tail = found.groups()
                 word = word.lower()
-                forms.append(word)
+                forms.append((word, tail))
                 if word not in base:
                     base[word] = known.new.get(word) or known.old.get(word)
+                if tail and tail not in rest:
+                    rest[tail] = known.new.get(tail) or known.old.get(tail) or b""
             else:
                 forms.append(None)
                 rest[p] = b""
         todo = [w for w, ids in base.items() if ids is None]
         if todo:
-            flat = np.array(self._ids([" ".join(todo)])[0], "<u2" if self.narrow else "<u4")
+            joined = self.plain.encode_batch_fast([" ".join(todo)], add_special_tokens=False)[0].ids
+            flat = np.array(joined, "<u2" if self.narrow else "<u4")
             cuts = (np.flatnonzero(self.ends[flat]) + 1).tolist()
             if len(cuts) != len(todo) or cuts[-1] != len(flat):
-                made = [struct.pack(f"<{len(i)}{code}", *i) for i in self._ids(todo)]
+                made = self._library(todo)
             else:
                 raw, size = flat.tobytes(), flat.itemsize
                 made = [raw[a * size : b * size] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
             for word, ids in zip(todo, made, strict=True):
                 base[word] = ids
                 known.put(word, ids)
-        if rest:
-            rest.update(zip(rest, (struct.pack(f"<{len(i)}{code}", *i) for i in self._ids(list(rest))), strict=True))
-        marks = self.marks
-        return [rest[p] if w is None else base[w] if len(w) == len(p) else base[w] + marks[p[-1]] for p, w in zip(parts, forms, strict=True)]
+        unknown = [p for p, ids in rest.items() if not ids]
+        if unknown:
+            for p, ids in zip(unknown, self._library(unknown), strict=True):
+                rest[p] = ids
+                known.put(p, ids)
+        return [rest[p] if f is None else base[f[0]] + rest[f[1]] if f[1] else base[f[0]] for p, f in zip(parts, forms, strict=True)]
 
     def _count(self, parts: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
