@@ -514,6 +514,15 @@ def test_pretokens_add_up(text):
     assert token_counts.counts(pa.array([text]), e) == [len(ids)]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.characters(max_codepoint=0x180, categories=["L", "P", "S", "N", "M"]), min_size=1, max_size=9) | st.sampled_from(["WORD###", "été!!'", "'s's", "ﬁ,", "ǅa", "e\u0301"]), max_size=9))
+def test_letters_and_marks_equal_the_library(parts):
+    e = recent.PretokenEncoder.of(WORDS)
+    e.packed = recent.Recent(20)
+    text = " ".join(parts)
+    assert np.frombuffer(e.pack_texts([text])[0], "<u2").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_small_cache_gives_the_same():
     e = recent.PretokenEncoder(WORDS)
     e.packed, e.counts = recent.Recent(4), recent.Recent(4)
