@@ -54,7 +54,7 @@ def _types_of(html: pd.Series) -> pd.Series:
         for body in pattern.findall(page or ""):
             try:
                 names += _deep(json.loads(body))
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
         out.append(names)
     return pd.Series(out, dtype=object)
@@ -77,8 +77,11 @@ def _either(html: Column, pattern: str) -> Column:
 def with_validation(pages: DataFrame, url: str = "url", html: str = "html", provider: str = "provider") -> DataFrame:
     """pages with is_valid, confidence of the verdict, reason_code, suspect and signals."""
     body = F.coalesce(F.col(html), F.lit(""))
+    # Only pages with more graphs than the expression follows reach Python; the others send it a null.
+    deep = F.regexp_count(body, F.lit('"@graph"')) > GRAPH_DEPTH
+    types = F.concat(json_ld_types(body), json_ld_types_deep(F.when(deep, body)))
     out = (
-        pages.withColumn("_t", F.when(body.rlike("(?i)application/ld\\+json"), json_ld_types(body)).otherwise(F.array().cast("array<string>")))
+        pages.withColumn("_t", F.when(body.rlike("(?i)application/ld\\+json"), types).otherwise(F.array().cast("array<string>")))
         .withColumn("_og", (F.lower(_either(body, rules.OG_TYPE)) == "article") & body.rlike(rules.PUBLISHED_TIME))
         .withColumn("_no", body.rlike(rules.NOINDEX))
         .withColumn("_ca", _either(body, rules.CANONICAL).rlike(rules.CANONICAL_REJECT))

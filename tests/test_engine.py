@@ -117,6 +117,15 @@ def test_first_url_rule_and_best_dom_rule(spark):
     assert detect.fingerprints(spark).count() == 36
 
 
+def test_a_posting_in_a_deep_graph_is_found(spark):
+    body = {"@graph": [{"@graph": [{"@graph": [{"@graph": [{"@graph": [{"@type": "JobPosting"}]}]}]}]}]}
+    deep = f'<script type="application/ld+json">{json.dumps(body)}</script>'
+    endless = '<script type="application/ld+json">' + '{"@graph":[' * 5000 + "]}" * 5000 + "</script>"
+    rows = spark.createDataFrame([(1, deep), (2, endless), (3, None)], "id long, html string").selectExpr("*", "'https://e.org' AS url", "'unknown' AS provider")
+    found = {r.id: r.reason_code for r in validate.with_validation(rows).collect()}
+    assert found[1] == "schema_job_posting" and found[2] != "schema_job_posting" and found[3] != "schema_job_posting"
+
+
 def test_types_of_deep_graphs(spark):
     body = {"@type": "A", "@graph": [{"@graph": [{"@graph": [{"@graph": [{"@graph": [{"@type": ["B", "C"]}]}]}]}]}]}
     html = f'<script type="application/ld+json">{json.dumps(body)}</script>'
