@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import html_blocks, jaccard_join, langid, packing, quality, sentencepiece_wfst, tiff, token_counts, token_parquet, toxicity
+from pagelode.llm import html_blocks, jaccard_join, langid, packing, prefix_trie, quality, sentencepiece_wfst, tiff, token_counts, token_parquet, toxicity
 from pagelode.llm.shared import shared_folder
 
 
@@ -76,11 +76,16 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(pages, html_blocks.fit(pages))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_tiff, op3_language_id, op4_quality_rules, op5_jaccard_join,
         op6_packing, op7_token_counts, op8_token_parquet, op9_toxicity, op10_html_extraction,
+        op13_prefix_trie,
     )
 }
 
@@ -108,4 +113,5 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.component, s
 FROM s LEFT JOIN reps ON list_sort(s.s) = reps.s LEFT JOIN c USING (rep) LEFT JOIN l USING (rep)
 """,
     "op6_packing": packing.oracle(_PLAIN_WORDS),
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }

@@ -10,7 +10,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagelode.functions.shipping import ship_package
 
@@ -64,6 +66,38 @@ def removed(*tables: DataFrame) -> None:
             where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def running(df: DataFrame, order: list[str], name: str, sums: list[str], keep: list[str] | None = None) -> DataFrame:
+    """df in one global order: _at is a row's place from 0, _c the sum of column c up to and with the row, for each c of sums.
+
+    Sums within ranges are written with the rows, then each range's offset is added: one row for each range goes to the driver."""
+    cols = keep if keep is not None else df.columns
+    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
+    extra = ["_at", *(f"_{c}" for c in sums)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, totals = TaskContext.get().partitionId(), 0, [0] * len(sums)
+        for batch in batches:
+            out = {c: string_column(batch, c) for c in cols}
+            out["_part"] = pa.array(np.full(len(batch), part, np.int32))
+            out["_at"] = pa.array(np.arange(at, at + len(batch)))
+            at += len(batch)
+            for k, c in enumerate(sums):
+                up_to = totals[k] + np.cumsum(string_column(batch, c).to_numpy(zero_copy_only=False))
+                totals[k] = int(up_to[-1]) if len(up_to) else totals[k]
+                out[f"_{c}"] = pa.array(up_to.astype(np.int64))
+            yield pa.record_batch(out)
+
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*dict.fromkeys([*cols, *sums]))
+    local = saved(ranged.mapInArrow(run, f"{fields}, _part int, " + ", ".join(f"`{c}` long" for c in extra)), name)
+    per = local.groupBy("_part").agg((F.max("_at") + 1).alias("_at"), *(F.max_by(f"_{c}", "_at").alias(f"_{c}") for c in sums)).orderBy("_part").collect()
+    offsets, before = [], [0] * len(extra)
+    for r in per:
+        offsets.append((r["_part"], *before))
+        before = [b + r[c] for b, c in zip(before, extra, strict=True)]
+    known = df.sparkSession.createDataFrame(offsets, "_part int, " + ", ".join(f"`_o{c}` long" for c in extra))
+    return local.join(F.broadcast(known), "_part").select(*cols, *((F.col(c) + F.col(f"_o{c}")).alias(c) for c in extra))
+
+
 def in_one_task(rows: DataFrame, fit: Callable[[pa.Table], object]):
     """What fit makes of all rows (a bounded sample) in a task of their own; it comes back pickled."""
 
