@@ -33,11 +33,10 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +61,9 @@ EXTRA = 16
 #: Parts into which the rows of one join key are dealt where a key may hold a large share of them.
 SALT = 8
 
+#: Signatures of a set of shingle hashes.
+Sign = Callable[[np.ndarray], np.ndarray]
+
 _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
@@ -335,7 +337,7 @@ def cell_links(
     return links, first
 
 
-def _facts(batches: Iterator[pa.RecordBatch], percent: int, width: int, often: Broadcast | None) -> Iterator[pa.RecordBatch]:
+def _facts(batches: Iterator[pa.RecordBatch], width: int, sign: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Size, fingerprints and signatures of each row's set; a task signs equal sets once (again after SEEN other ones)."""
     seen: set[tuple[int, int]] = set()
     for batch in batches:
@@ -348,7 +350,7 @@ def _facts(batches: Iterator[pa.RecordBatch], percent: int, width: int, often: B
             if known in seen:
                 signs.append(np.zeros(0, np.int64))
             else:
-                signs.append((signatures(s, percent) if often is None else prefix(s, percent, often.value)).view(np.int64))
+                signs.append(sign(s).view(np.int64))
             if len(seen) >= SEEN:
                 seen.clear()
             seen.add(known)
@@ -427,30 +429,35 @@ def _cells(percent: int, width: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, width: int = WIDTH, sign: Sign | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of docs."""
-    return jaccard_links(docs, percent, block, width).drop("n_links")
+    return jaccard_links(docs, percent, block, width, sign).drop("n_links")
 
 
-def jaccard_links(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
+def jaccard_links(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, width: int = WIDTH, sign: Sign | None = None) -> DataFrame:
     """As jaccard_components(), with n_links: to how many other documents each row is linked."""
     owned = F.col("doc_id").isNotNull()
-    return jaccard_groups(docs, percent, block, width).select(
+    return jaccard_groups(docs, percent, block, width, sign).select(
         "doc_id", "n_shingles", F.when(owned, F.coalesce("component", "doc_id")).alias("component_id"), F.when(owned, F.coalesce("links", F.lit(0))).alias("n_links")
     )
 
 
-def jaccard_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
+def jaccard_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, width: int = WIDTH, sign: Sign | None = None) -> DataFrame:
     """doc_id, hash (xxhash64 of the text), n_shingles, component, links and first of every row of docs.
 
+    sign: the signatures of a set, of which linked sets share one; without it they are exact ones of this module.
     first: the row's document is the one that stands for its component, which is that of the smallest doc_id (then of the
     smallest hash of the set, then of the text). Null for an empty set or a null doc_id."""
     prepare(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    by_prefix = percent < BY_PARTS
-    often = docs.sparkSession.sparkContext.broadcast(often_in(slim, width)) if by_prefix else None
+    by_prefix = sign is None and percent < BY_PARTS
+    if by_prefix:
+        often = docs.sparkSession.sparkContext.broadcast(often_in(slim, width))
+        sign = lambda s: prefix(s, percent, often.value)
+    elif sign is None:
+        sign = lambda s: signatures(s, percent)
     facts = slim.withColumn("hash", F.xxhash64("text")).mapInArrow(
-        lambda it: _facts(it, percent, width, often), "doc_id long, hash long, n_shingles long, fp1 long, fp2 long, sigs array<long>"
+        lambda it: _facts(it, width, sign), "doc_id long, hash long, n_shingles long, fp1 long, fp2 long, sigs array<long>"
     )
     facts = saved(facts.withColumn("node", F.xxhash64("fp1", "fp2", "n_shingles")).drop("fp1", "fp2"), "facts")
     # One class for each distinct set; the smallest doc_id stands for it, with one of its texts.

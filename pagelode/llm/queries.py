@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelode.llm import html_blocks, jaccard_join, langid, packing, prefix_trie, quality, sentencepiece_wfst, tiff, token_counts, token_parquet, toxicity
+from pagelode.llm import circulant_minhash, html_blocks, jaccard_join, langid, packing, prefix_trie, quality, sentencepiece_wfst, tiff, token_counts, token_parquet, toxicity, wand
 from pagelode.llm.shared import shared_folder
 
 
@@ -76,6 +76,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(pages, html_blocks.fit(pages))
 
 
+def op11_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant_minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op12_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(wand.index(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "benchmark"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(_read(spark, sf_dir, "conversations"))
 
@@ -85,7 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_sentencepiece, op2_tiff, op3_language_id, op4_quality_rules, op5_jaccard_join,
         op6_packing, op7_token_counts, op8_token_parquet, op9_toxicity, op10_html_extraction,
-        op13_prefix_trie,
+        op11_circulant_minhash, op12_wand, op13_prefix_trie,
     )
 }
 
@@ -93,25 +101,33 @@ _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCD
 
 _PLAIN_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-ORACLES: dict[str, str] = {
-    "op5_jaccard_join": rf"""
+
+def _links_sql(width: int, percent: int, columns: str) -> str:
+    """Documents with the components of their links, by comparing all pairs that share a shingle."""
+    shingle = " || ' ' || ".join("w[i]" if not k else f"w[i + {k}]" for k in range(width))
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {width - 2}), lambda i: {shingle})) END AS s FROM w),
 reps AS (SELECT min(doc_id) AS rep, count(DISTINCT doc_id) AS copies, list_sort(s) AS s FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
 g AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM reps),
 p AS (
-  SELECT a.rep AS a, b.rep AS b FROM g a JOIN g b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
-  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+  SELECT a.rep AS a, b.rep AS b FROM g a JOIN g b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
 e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
 r AS (SELECT rep AS x, rep AS y FROM reps UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
 c AS (SELECT x AS rep, min(y) AS component FROM r GROUP BY x),
 l AS (SELECT e.a AS rep, sum(reps.copies) AS links FROM e JOIN reps ON e.b = reps.rep GROUP BY e.a)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.component, s.doc_id) AS component_id,
-  CAST(coalesce(reps.copies - 1 + coalesce(l.links, 0), 0) AS BIGINT) AS n_links
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, {columns}
 FROM s LEFT JOIN reps ON list_sort(s.s) = reps.s LEFT JOIN c USING (rep) LEFT JOIN l USING (rep)
-""",
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op5_jaccard_join": _links_sql(3, 90, "coalesce(c.component, s.doc_id) AS component_id,\n  CAST(coalesce(reps.copies - 1 + coalesce(l.links, 0), 0) AS BIGINT) AS n_links"),
+    "op11_circulant_minhash": _links_sql(5, 85, "coalesce(c.component, s.doc_id) AS component_id, coalesce(c.component, s.doc_id) = s.doc_id AS kept"),
     "op6_packing": packing.oracle(_PLAIN_WORDS),
+    "op12_wand": wand.ORACLE,
     "op13_prefix_trie": prefix_trie.ORACLE,
 }
