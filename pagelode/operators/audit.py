@@ -18,7 +18,7 @@ def reject_rates(validated: DataFrame) -> DataFrame:
 def salvage_rates(events: DataFrame, hours: int = 24) -> DataFrame:
     """events (source, model, ts, status) with n and rate: events and share of salvaged ones in the day up to each, its peers included."""
     day = Window.partitionBy("source", "model").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-hours * 3600, 0)
-    return events.withColumn("n", F.count("*").over(day)).withColumn("rate", F.avg((F.col("status") == "salvaged").cast("double")).over(day))
+    return events.withColumn("n", F.count("*").over(day)).withColumn("rate", F.avg(F.coalesce(F.col("status") == rules.SALVAGED, F.lit(False)).cast("double")).over(day))
 
 
 def salvage_alerts(rated: DataFrame, above: float = rules.SALVAGE_ALERT) -> DataFrame:

@@ -17,6 +17,7 @@ from pagelode.functions.shipping import ship_package
 from pagelode.functions.text import clean_lines, let, or_null, strip, without_fences
 from pagelode.functions.values import base_salary, get, is_object, iso_time, kind_of, schema_salary, text
 from pagelode.operators.listings import json_ld_postings
+from pagelode.operators.microdata import flat, items
 from pagelode.operators.model_output import Model, jobs_of
 from pagelode.operators.validate import opengraph
 
@@ -47,20 +48,7 @@ def markdown(html: Column) -> Column:
 
 def microdata(html: Column) -> Column:
     """Array of (type, properties) of a page's items; a nested item is one of its own. Of equal names the first value counts."""
-    scoped = F.filter(F.split(html, r"(?i)(?=<[a-z][a-z0-9]*\s[^>]*\bitemscope\b)"), lambda x: x.rlike(r"(?i)^<[a-z][a-z0-9]*\s[^>]*\bitemscope\b"))
-    tag = r"(?is)<[a-z][a-z0-9]*\s[^>]*\bitemprop=[\"']([^\"']+)[\"'][^>]*>[^<]*"
-
-    def item(x: Column) -> Column:
-        def value(whole: Column) -> Column:
-            named = or_null(F.regexp_extract(whole, r"(?i)\s(?:content|href|src|datetime)=[\"']([^\"']*)[\"']", 1))
-            return F.coalesce(named, strip(F.regexp_replace(whole, r"^<[^>]*>", "")))
-
-        names, wholes = F.regexp_extract_all(x, F.lit(tag), F.lit(1)), F.regexp_extract_all(x, F.lit(tag), F.lit(0))
-        pairs = F.filter(F.arrays_zip(names.alias("name"), wholes.alias("whole")), lambda p, i: F.array_position(names, p["name"]) == i + 1)
-        properties = F.map_from_arrays(F.transform(pairs, lambda p: p["name"]), F.transform(pairs, lambda p: value(p["whole"])))
-        return F.struct(F.regexp_extract(x, r"(?i)^<[^>]*\bitemtype=[\"'](?:https?://schema\.org/)?([^\"']*)[\"']", 1).alias("type"), properties.alias("properties"))
-
-    return F.transform(scoped, item)
+    return flat(items(html))
 
 
 def structured_data(html: Column) -> Column:

@@ -112,8 +112,34 @@ CHALLENGE_MARKS = ["_cf_chl_opt", "cf-browser-verification", "just a moment", "c
 BYPASS_PROVIDERS = ["greenhouse", "lever", "ashby"]
 CHUNK_CHARS = 6000
 SALVAGE_ALERT = 0.10
+SALVAGED = "salvaged"
 STATUS_SEVERITY = ["clean", "salvaged", "truncated", "failed"]
 SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemal.xml"]
 BODY_CAP = 10 * 1024 * 1024
 ERROR_CAP = 200
 ODATA_PATH = "/odata/v2/JobRequisition"
+
+# Provider, patterns on the page's URL, patterns on its HTML (both in any case), names of script globals, and addresses of its API.
+# They are tried in this order: all URL patterns, then all HTML patterns, then all globals.
+FINGERPRINTS = [
+    (
+        "teamtailor", [r"\.teamtailor\.com", r"api\.teamtailor\.com"], [r"teamtailor", r"data-teamtailor", r"tt-job", r"teamtailor-job"],
+        ["Teamtailor", "teamtailor"], ["https://api.teamtailor.com/v1/jobs"],
+    ),
+    (
+        "recruitee", [r"\.recruitee\.com"], [r"recruitee", r"rt-job", r"recruitee-job", r"class=['\"][^'\"]*recruitee"],
+        ["Recruitee", "recruitee"], ["https://{slug}.recruitee.com/api/offers"],
+    ),
+    ("pinpoint", [r"\.pinpointhq\.com"], [r"pinpointhq", r"pinpoint-job", r"data-pinpoint"], ["Pinpoint", "PinpointHQ"], ["https://{slug}.pinpointhq.com/jobs.json"]),
+    ("breezy", [r"\.breezy\.hr"], [r"breezy\.hr", r"breezy-position", r"data-breezy"], ["breezy", "Breezy"], ["https://{slug}.breezy.hr/json"]),
+    (
+        "phenom", [r"phenom\.com", r"phenompeople\.com"], [r"class=['\"][^'\"]*(ph-|phw-)", r"phenom-job", r"phenom\.com", r"phenompeople\.com", r"data-phenom"],
+        ["Phenom", "PhenomPeople", "phenom"], ["https://api.phenom.com/jobs-api/v1/jobs"],
+    ),
+    ("eightfold", [r"\.eightfold\.ai"], [r"class=['\"][^'\"]*(eightfold-|efai-)", r"eightfold\.ai", r"data-eightfold"], ["Eightfold", "eightfold", "efai"], []),
+    (
+        "sap_successfactors", [r"successfactors\.com", r"career\.sap\.com", r"sap\.com/careers"], [r"successfactors", r"sfsf-", r"saphr", r"data-sap-", r"SAP SuccessFactors"],
+        ["SuccessFactors", "SFSF", r"sap\.sf"], ["/odata/v2/JobRequisition?$format=json", "/sitemal.xml"],
+    ),
+]
+FINGERPRINT_URL, FINGERPRINT_HTML = 0.9, 0.85
