@@ -13,7 +13,8 @@ merged by counting each record's occurrences in numpy; divide_skip() is the plai
    are the shingles of the set's prefix, in an order that puts the frequent ones last: linked sets share one of these.
 3. The classes of a signature meet at its smallest class, their lead; all that meet at one lead are a star. Linked classes are in
    a star together. A star that lies inside another one of a smaller lead is left out.
-4. A star above the size of a block is dealt by hash into parts, and each two parts meet in one cell. DivideSkip finds all links of
+4. A star of more than NARROW blocks is signed anew: its sets' prefixes, rare shingles first, bring together only what may be linked.
+   A star above the size of a block is dealt by hash into parts, and each two parts meet in one cell. DivideSkip finds all links of
    a cell. Classes that are in several stars together are compared at the smallest lead they share, so each link counts once.
 5. A cell returns a row for each class: its links, weighted by the number of documents of the class at the other end, and the class
    that stands for its component within the cell. Components of these give the component of each class, and so of each document.
@@ -49,6 +50,8 @@ WIDTH = 3
 CLASS = 1.5
 #: Shingles in one part of a star, about.
 BLOCK = 1 << 19
+#: Stars of more parts than this are signed anew by rare shingles: a star of P parts sends each of its texts to P cells.
+NARROW = 4
 #: Sets that a task remembers as signed.
 SEEN = 1 << 18
 #: Percentages below this sign by prefix: the parts of their signatures would hold too few shingles to tell texts apart.
@@ -442,7 +445,66 @@ def jaccard_links(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, w
     )
 
 
-def jaccard_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, width: int = WIDTH, sign: Sign | None = None) -> DataFrame:
+def _stars(signs: DataFrame) -> DataFrame:
+    """lead, node and how often they met, of (node, sig): the nodes of a signature meet at its smallest one."""
+    dealt = signs.repartition("sig")  # once, for both the leads and those that meet them
+    lead = dealt.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("sig", "lead")
+    return saved(dealt.join(lead.hint("shuffle_merge"), "sig").groupBy("lead", "node").agg(F.count("*").alias("met")), "stars")
+
+
+def _met_enough(stars: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Stars by prefix without the sets that share too few shingles with all others together: they are linked with none."""
+    enough = stars.groupBy("node").agg(F.sum("met").alias("met")).join(reps, "node").where(F.col("met") >= met_by(F.col("n_shingles"), percent))
+    met = stars.join(enough.select("node"), "node", "left_semi")
+    several = met.groupBy("lead").agg(F.count("*").alias("c")).where("c > 1").select("lead")
+    kept = saved(met.join(several, "lead", "left_semi"), "stars")
+    removed(stars)
+    return kept
+
+
+def _outermost(stars: DataFrame) -> DataFrame:
+    """lead and node of the stars that aren't inside another one: the smallest other star that a lead is in has all of it, or it stays."""
+    outer = stars.where("lead < node").groupBy(F.col("node").alias("lead")).agg(F.min("lead").alias("outer"))
+    inside = stars.join(outer, "lead").join(stars.select(F.col("lead").alias("outer"), "node"), ["outer", "node"], "left_semi").groupBy("lead").agg(F.count("*").alias("inside"))
+    whole = stars.groupBy("lead").agg(F.count("*").alias("c")).join(inside, "lead").where("inside = c").select("lead")
+    return stars.join(whole, "lead", "left_anti").select("lead", "node")
+
+
+def _parts(placed: DataFrame, block: int) -> DataFrame:
+    """lead and parts of stars, by the shingles of their nodes."""
+    return placed.groupBy("lead").agg(F.ceil(F.sum("n_shingles") / block).cast("int").alias("parts"))
+
+
+def _narrowed(slim: DataFrame, stars: DataFrame, reps: DataFrame, percent: int, width: int, block: int, narrow: int) -> DataFrame:
+    """Stars of which those of more than `narrow` parts are signed anew, by their sets' rare shingles.
+
+    Sets that are alike but not linked share signatures by chance of what they have in common; of their prefixes, frequent shingles last,
+    linked sets share shingles, and alike ones don't. Only sets of wide stars are read again."""
+    broad = saved(_parts(stars.join(reps.select("node", "n_shingles"), "node"), block).where(F.col("parts") > narrow), "broad")
+    if broad.isEmpty():
+        removed(broad)
+        return stars
+    crowd = reps.join(stars.join(broad, "lead", "left_semi").select("node").distinct(), "node", "left_semi")
+    texts = slim.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("hash"), "text").where("rep is not null").dropDuplicates(["rep", "hash"])
+    read = saved(crowd.select("node", "rep", "hash").hint("shuffle_merge").join(texts, ["rep", "hash"]).select("node", "text"), "crowd")
+    often = slim.sparkSession.sparkContext.broadcast(often_in(read, width))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = [prefix(s, percent, often.value).view(np.int64) for s in shingle_sets(string_column(batch, "text"), width)]
+            at = np.concatenate(([0], np.cumsum([len(x) for x in signs]))).astype(np.int32)
+            yield pa.record_batch({"node": string_column(batch, "node"), "sigs": pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*signs, np.zeros(0, np.int64)])))})
+
+    rare = _met_enough(_stars(read.mapInArrow(sign, "node long, sigs array<long>").select("node", F.explode("sigs").alias("sig"))), reps, percent)
+    kept = stars.join(broad, "lead", "left_anti")
+    both = saved(_outermost(saved(kept.unionByName(rare.select("lead", "node")).distinct(), "both")), "outermost")
+    removed(broad, read, rare, stars)
+    return both
+
+
+def jaccard_groups(
+    docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, width: int = WIDTH, sign: Sign | None = None, narrow: int = NARROW
+) -> DataFrame:
     """doc_id, hash (xxhash64 of the text), n_shingles, component, links and first of every row of docs.
 
     sign: the signatures of a set, of which linked sets share one; without it they are exact ones of this module.
@@ -465,27 +527,16 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK,
     one = owned.groupBy("doc_id", "node", "n_shingles").agg(F.min("hash").alias("hash"))
     reps = one.groupBy("node", "n_shingles").agg(F.min(F.struct("doc_id", "hash")).alias("r"), F.count("*").alias("copies"))
     reps = saved(reps.select("node", "n_shingles", F.col("r.doc_id").alias("rep"), F.col("r.hash").alias("hash"), "copies"), "reps")
-    # Dealt once, for both the leads and those that meet them.
-    signs = facts.where("n_shingles > 0").select("node", F.explode("sigs").alias("sig")).repartition("sig")
-    lead = signs.groupBy("sig").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("sig", "lead")
-    stars = saved(signs.join(lead.hint("shuffle_merge"), "sig").groupBy("lead", "node").agg(F.count("*").alias("met")), "stars")
+    stars = _stars(facts.where("n_shingles > 0").select("node", F.explode("sigs").alias("sig")))
     if by_prefix:
-        # Sets that share too few shingles with all others together are linked with none.
-        enough = stars.groupBy("node").agg(F.sum("met").alias("met")).join(reps, "node").where(F.col("met") >= met_by(F.col("n_shingles"), percent))
-        met = stars.join(enough.select("node"), "node", "left_semi")
-        several = met.groupBy("lead").agg(F.count("*").alias("c")).where("c > 1").select("lead")
-        everything, stars = stars, saved(met.join(several, "lead", "left_semi"), "stars")
-        removed(everything)
-
-    # The smallest other star that a lead is in: where that has all of this star, this one has nothing to add.
-    outer = stars.where("lead < node").groupBy(F.col("node").alias("lead")).agg(F.min("lead").alias("outer"))
-    inside = stars.join(outer, "lead").join(stars.select(F.col("lead").alias("outer"), "node"), ["outer", "node"], "left_semi").groupBy("lead").agg(F.count("*").alias("inside"))
-    whole = stars.groupBy("lead").agg(F.count("*").alias("c")).join(inside, "lead").where("inside = c").select("lead")
-    outermost = stars.join(whole, "lead", "left_anti")
+        stars = _met_enough(stars, reps, percent)
+    outermost = saved(_outermost(stars), "outermost")
+    removed(stars)
+    if not by_prefix:
+        outermost = _narrowed(slim, outermost, reps, percent, width, block, narrow)
     members = saved(outermost.groupBy("node").agg(F.sort_array(F.collect_set("lead")).alias("leads")).join(reps, "node"), "members")
-    placed = members.select("node", "n_shingles", F.explode("leads").alias("lead"))
-    parts = placed.groupBy("lead").agg(F.ceil(F.sum("n_shingles") / block).cast("int").alias("parts"))
-    wide = saved(parts.where("parts > 1"), "wide")
+    removed(outermost)
+    wide = saved(_parts(members.select("node", "n_shingles", F.explode("leads").alias("lead")), block).where("parts > 1"), "wide")
 
     # Every text is dealt once, at any size of the input; equal rows of one doc_id are one text.
     texts = slim.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("hash"), "text").where("rep is not null").dropDuplicates(["rep", "hash"])
@@ -497,7 +548,7 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK,
     rows = rows.select("node", "rep", "copies", "text", "leads", "part", "lead", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     cells = rows.groupBy("lead", "low", "high").applyInArrow(_cells(percent, width), "node long, rep long, links long, to_node long, to_rep long")
     found = saved(cells.where("links > 0"), "links")
-    removed(stars, members, wide)
+    removed(members, wide)
 
     # Classes are ordered by (rep, node): two sets of one doc_id stay two classes, and the least one has the smallest doc_id.
     ends = found.where("node <> to_node").select(F.struct("rep", "node").alias("a"), F.struct(F.col("to_rep").alias("rep"), F.col("to_node").alias("node")).alias("b"))
