@@ -11,7 +11,10 @@ content box; menus, headers, footers, sidebars, notices, adverts, forms and read
 the sampled pages themselves where they mark their article. Everything is seeded; every row is extracted from its whole html.
 
 Defined cases: null or empty html, or a page without main text, gives an empty text; an unclosed tag, comment or script
-runs to the end; character references are decoded as HTML 5 has it; no block is dropped for its length.
+runs to the end, and a comment ends where HTML 5 ends it (`-->`, `--!>`, or at once in `<!-->` and `<!--->`); `</br>` is a break; character
+references are decoded as HTML 5 has it, within one run of text; no block is dropped for its length. Repeated rows and equal page_ids give a row
+each; a null page_id is kept; columns besides page_id, url and html are ignored, whatever their names. Without pages to learn from, the
+labeller is trained on layouts of its own text alone, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,12 +44,13 @@ HIDDEN = 16
 TOGETHER = 256
 
 BLOCK_TAGS = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "noscript address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table "
     "tbody td textarea tfoot th thead title tr ul".split()
 )
-#: Left out with all they hold. An svg tag that closes itself holds nothing; math, object, audio and video hold text like any other tag.
-RAW_TAGS = "script style noscript template iframe svg canvas".split()
+#: Left out with all they hold. An svg tag that closes itself holds nothing; math, object, audio, video, canvas and noscript hold text like any
+#: other tag.
+RAW_TAGS = "script style template iframe svg".split()
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open tag that one of these closes.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
@@ -56,7 +60,7 @@ BARRIERS = frozenset("ul ol menu dl table select".split())
 #: Attributes up to the tag's end: a quote opens a value only right behind an equals sign.
 _ATTRS = r"(?:=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)|[^\s>]*+)|[^>=])*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
+    r"<!--(?:-?>|.*?(?:--!?>|$))|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"|<svg(?=[\s/])" + _ATTRS + r"(?<=/)>"
     r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b" + _ATTRS + r"(?:>.*?(?:</(?P=raw)\s*>|$)|$)"
     r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|$)"
@@ -85,7 +89,8 @@ def blocks(page: str | None) -> list[Block]:
 
     def flush() -> None:
         if held:
-            text = " ".join(html_lib.unescape("".join(x for x, _ in held)).split())
+            # Each run by itself: a reference doesn't go on behind a tag or a comment.
+            text = " ".join("".join(html_lib.unescape(x) for x, _ in held).split())
             if text:
                 linked = sum(len(x) for x, link in held if link)
                 out.append(Block(tuple(label for name, label in stack if name in BLOCK_TAGS or label != name), text, linked))
@@ -130,6 +135,9 @@ def blocks(page: str | None) -> list[Block]:
                 links += name == "a"
         elif m["end"]:
             name = m["end"].lower()
+            if name == "br":  # as HTML has it, a break
+                held.append((" ", False))
+                continue
             if name in BLOCK_TAGS:
                 flush()
             for k in range(len(stack) - 1, -1, -1):

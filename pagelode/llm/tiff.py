@@ -357,23 +357,37 @@ def text_pictures(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, media binary")
 
 
+_DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int, error string"
+
+
+def _digest(media: bytes | None) -> tuple:
+    """The columns behind doc_id of one stored file; of one that is absent or broken only its size, hash, pages and error are known."""
+    stored = (None, None) if media is None else (len(media), hashlib.sha256(media).hexdigest())
+    if media is None:
+        return (None, None, None, None, *stored, None, None, "no file")
+    pages = list(decode(media))
+    error = next((p.error for p in pages if p.error), None) or (None if pages else "no page")
+    if error:
+        return (None, None, None, None, *stored, None, len(pages), error)
+    payload = b"".join(p.samples for p in pages)
+    size = int(pages[0].note) if (pages[0].note or "").isdigit() else None
+    look = feature(payload) if len(payload) % WIDTH == 0 and payload else None
+    return (size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *stored, look, len(pages), None)
+
+
 def payload_digests(pictures: DataFrame) -> DataFrame:
-    """What the stored pictures hold, one row per page: the page is decoded from `media` where it's digested."""
+    """What the stored pictures hold, one row per picture (doc_id, media): its pages are decoded where they're digested.
+
+    A null file, one that is no TIFF and one with a page that can't be decoded give a row with null digests and the error; a picture
+    without a note has no n_bytes, and one whose rows aren't as wide as text_pictures() makes them no feature."""
     prepare(pictures.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _DIGESTS.split(", ")]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string())
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pages")}
-            for doc, blob in zip(string_column(batch, "doc_id").to_pylist(), string_column(batch, "media"), strict=True):
-                media = blob.as_py()
-                pages = list(decode(media))
-                payload = b"".join(p.samples for p in pages)
-                row = (doc, int(pages[0].note), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload), len(pages))
-                for k, v in zip(out, row, strict=True):
-                    out[k].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
-            yield pa.record_batch({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
-
-    return pictures.select("doc_id", "media").mapInArrow(
-        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int"
-    )
+            rows = [(doc, *_digest(blob.as_py())) for doc, blob in zip(string_column(batch, "doc_id").to_pylist(), string_column(batch, "media"), strict=True)]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            yield pa.record_batch({n: pa.array(list(c), t) for n, c, t in zip(names, columns, kinds, strict=True)})
+
+    return pictures.select("doc_id", "media").mapInArrow(run, _DIGESTS)
