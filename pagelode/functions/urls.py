@@ -162,26 +162,26 @@ def provider_api(u: Column, provider: Column) -> Column:
     more = F.when(u.contains("?"), "&").otherwise("?")
     return (
         F.when(provider.isin("greenhouse", "lever", "smartrecruiters"), api_url(u, provider))
-        .when(provider == "teamtailor", F.when(netloc(u).contains("api.teamtailor.com"), u).otherwise(F.concat(F.lit("https://api.teamtailor.com/v1/jobs?filter[company-slug]="), slug)))
-        .when(provider == "recruitee", F.when(path_of(u).contains("/api/offers"), u).otherwise(F.concat(host, F.lit("/api/offers"))))
-        .when(provider == "pinpoint", F.when(u.endswith(".json") | path_of(u).contains("/jobs.json"), u).otherwise(F.concat(host, F.lit("/jobs.json"))))
-        .when(provider == "breezy", F.when(path_of(u).endswith("/json"), u).otherwise(F.concat(host, F.lit("/json"))))
-        .when(provider == "phenom", F.lit("https://api.phenom.com/jobs-api/v1/jobs"))
+        .when(provider == "teamtailor", F.when(netloc(u).contains(rules.TEAMTAILOR_HOST), u).otherwise(F.concat(F.lit(rules.TEAMTAILOR_API), slug)))
+        .when(provider == "recruitee", F.when(path_of(u).contains(rules.RECRUITEE_PATH), u).otherwise(F.concat(host, F.lit(rules.RECRUITEE_PATH))))
+        .when(provider == "pinpoint", F.when(u.endswith(".json") | path_of(u).contains(rules.PINPOINT_PATH), u).otherwise(F.concat(host, F.lit(rules.PINPOINT_PATH))))
+        .when(provider == "breezy", F.when(path_of(u).endswith(rules.BREEZY_PATH), u).otherwise(F.concat(host, F.lit(rules.BREEZY_PATH))))
+        .when(provider == "phenom", F.lit(rules.PHENOM_API))
         .when(
             provider == "sap_successfactors",
-            F.when(path_of(u).contains(rules.ODATA_PATH), F.when(u.contains("$format=json"), u).otherwise(F.concat(u, more, F.lit("$format=json")))).otherwise(
-                F.concat(origin(u), F.lit(rules.ODATA_PATH + "?$format=json"))
+            F.when(path_of(u).contains(rules.ODATA_PATH), F.when(u.contains(rules.ODATA_FORMAT), u).otherwise(F.concat(u, more, F.lit(rules.ODATA_FORMAT)))).otherwise(
+                F.concat(origin(u), F.lit(f"{rules.ODATA_PATH}?{rules.ODATA_FORMAT}"))
             ),
         )
     )
 
 
 def sap_sitemap(u: Column) -> Column:
-    return F.concat(origin(u), F.lit("/sitemal.xml"))
+    return F.concat(origin(u), F.lit(rules.SITEMAP_PATHS[2]))
 
 
 def robots_url(u: Column) -> Column:
-    return F.concat(origin(u), F.lit("/robots.txt"))
+    return F.concat(origin(u), F.lit(rules.ROBOTS_PATH))
 
 
 def ashby_slug(u: Column, html: Column) -> Column:

@@ -22,9 +22,10 @@ Model = Callable[[list[str], int], list[tuple[str, bool]]]
 JOB = "struct<title:string,url:string,location:string,department:string,employment_type:string,description:string,requirements:array<string>,salary_range:string>"
 
 
-def jobs_of(answer: Column) -> Column:
-    """Array of JOB of a strict JSON answer {"jobs": [...]}; null if it isn't one."""
+def jobs_of(answer: Column, bare: bool = False) -> Column:
+    """Array of JOB of a strict JSON answer {"jobs": [...]}, or with `bare` of an array of jobs too; null if it isn't one."""
     v = F.try_parse_json(without_fences(answer))
+    listed = F.coalesce(get(v, "$.jobs", "array<variant>"), get(v, "$", "array<variant>")) if bare else get(v, "$.jobs", "array<variant>")
 
     def row(x: Column) -> Column:
         wanted = F.filter(get(x, "$.requirements", "array<string>"), lambda r: F.coalesce(r != "", F.lit(False)))
@@ -34,7 +35,7 @@ def jobs_of(answer: Column) -> Column:
             F.coalesce(wanted, F.array().cast("array<string>")).alias("requirements"), part("salary_range"),
         )
 
-    found = F.transform(F.filter(get(v, "$.jobs", "array<variant>"), lambda x: is_object(x)), lambda x: row(x))
+    found = F.transform(F.filter(listed, lambda x: is_object(x)), lambda x: row(x))
     return F.filter(found, lambda j: j["title"].isNotNull() & j["url"].isNotNull()).cast(f"array<{JOB}>")
 
 

@@ -18,16 +18,25 @@ from pagelode.functions.values import get, text
 GRAPH_DEPTH = 3
 
 
+def json_ld_bodies(html: Column) -> Column:
+    """The JSON-LD values of a page (VARIANT)."""
+    return F.transform(F.regexp_extract_all(html, F.lit(rules.JSON_LD), F.lit(1)), lambda x: F.try_parse_json(x))
+
+
 def json_ld_types(html: Column, depth: int = GRAPH_DEPTH) -> Column:
-    """The @type names of a page's JSON-LD, graphs included, in order of depth."""
-    level = F.transform(F.regexp_extract_all(html, F.lit(rules.JSON_LD), F.lit(1)), lambda x: F.try_parse_json(x))
-    found = []
-    for _ in range(depth + 1):
-        level = F.flatten(F.transform(level, lambda v: F.coalesce(get(v, "$", "array<variant>"), F.array(v))))
-        names = F.flatten(F.transform(level, lambda v: F.coalesce(get(v, "$['@type']", "array<string>"), F.array(text(get(v, "$['@type']"))))))
-        found.append(F.array_compact(names))
-        level = F.array_compact(F.transform(level, lambda v: get(v, "$['@graph']")))
-    return F.concat(*found)
+    """The @type names of a page's JSON-LD in document order: an object's own before those of its graph."""
+
+    def of(v: Column, left: int) -> Column:
+        own = F.coalesce(get(v, "$['@type']", "array<string>"), F.array(text(get(v, "$['@type']"))))
+        if not left:
+            return own
+        graph = get(v, "$['@graph']")
+        return F.when(graph.isNull(), own).otherwise(F.concat(own, each(graph, left - 1)))
+
+    def each(v: Column, left: int) -> Column:
+        return F.flatten(F.transform(F.coalesce(get(v, "$", "array<variant>"), F.array(v)), lambda x: of(x, left)))
+
+    return F.array_compact(F.flatten(F.transform(json_ld_bodies(html), lambda v: each(v, depth))))
 
 
 def _deep(value) -> list[str]:
@@ -75,11 +84,18 @@ def _either(html: Column, pattern: str) -> Column:
 
 
 def with_validation(pages: DataFrame, url: str = "url", html: str = "html", provider: str = "provider") -> DataFrame:
-    """pages with is_valid, confidence of the verdict, reason_code, suspect and signals."""
+    """pages with is_valid, confidence of the verdict, reason_code, suspect and signals.
+
+    Only pages with more graphs than the expression follows leave the JVM, as a branch of their own."""
+    deep = F.regexp_count(F.coalesce(F.col(html), F.lit("")), F.lit('"@graph"')) > GRAPH_DEPTH
+    if pages.isStreaming:  # one source, read once
+        return _judged(pages, F.when(deep, json_ld_types_deep(F.when(deep, F.col(html)))).otherwise(json_ld_types(F.col(html))), url, html, provider)
+    plain = _judged(pages.where(~deep), json_ld_types(F.col(html)), url, html, provider)
+    return plain.unionByName(_judged(pages.where(deep), json_ld_types_deep(F.col(html)), url, html, provider))
+
+
+def _judged(pages: DataFrame, types: Column, url: str, html: str, provider: str) -> DataFrame:
     body = F.coalesce(F.col(html), F.lit(""))
-    # Only pages with more graphs than the expression follows reach Python; the others send it a null.
-    deep = F.regexp_count(body, F.lit('"@graph"')) > GRAPH_DEPTH
-    types = F.concat(json_ld_types(body), json_ld_types_deep(F.when(deep, body)))
     out = (
         pages.withColumn("_t", F.when(body.rlike("(?i)application/ld\\+json"), types).otherwise(F.array().cast("array<string>")))
         .withColumn("_og", (F.lower(_either(body, rules.OG_TYPE)) == "article") & body.rlike(rules.PUBLISHED_TIME))

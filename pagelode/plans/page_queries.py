@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from pagelode.operators import answers, fingerprints, microdata
+from pagelode.operators import answers, fingerprints, microdata, validate
 from pagelode.plans.registry import query, read
 
 
@@ -98,3 +98,22 @@ def answer_schema(spark, sf_dir):
     found = answers.checked(read(spark, sf_dir, "customer").select(k.alias("k"), answer.alias("answer")), _SCHEMA)
     second = F.get("rows", F.lit(1))
     return found.select("k", "violation", F.when(F.col("rows").isNotNull(), F.size("rows")).alias("rows"), second["title"].alias("title"), second["pay"]["low"].alias("low"), F.get(F.get(second["places"], F.lit(1))["codes"], F.lit(0)).alias("code"))
+
+
+_TYPES = ["NewsArticle", "BlogPosting", "Place", "Article", "JobPosting"]
+
+
+@query(f"""WITH t AS (SELECT page_id, i, [{', '.join(map(_sql, _TYPES))}][1 + (page_id * (i + 2) + i) % 5] AS t FROM pages, range(0, 3) r(i)), n AS (SELECT page_id, bool_or(t = 'JobPosting') AS job, min(i) FILTER (t NOT IN ('JobPosting', 'Place')) AS first FROM t GROUP BY page_id)
+SELECT n.page_id, CASE WHEN job THEN 'schema_job_posting' WHEN first IS NOT NULL THEN 'schema_non_job' ELSE 'ats_detected' END AS reason_code,
+ CASE WHEN job THEN 'schema_job_posting' WHEN first IS NOT NULL THEN 'schema_non_job:' || t.t ELSE 'ats_detected:lever' END AS signals FROM n LEFT JOIN t ON t.page_id = n.page_id AND t.i = n.first""")
+def validate_graphs(spark, sf_dir):
+    """Three types behind graphs of different depth: the first in the document is named, wherever it hangs."""
+    k = F.col("page_id")
+
+    def element(i):
+        kind, depth = F.get(F.array(*map(F.lit, _TYPES)), ((k * (i + 2) + i) % 5).cast("int")), (k * (2 * i + 3) + 3 - i) % 4 % 3 if i else k % 7
+        return F.concat(F.repeat(F.lit('{"@graph":['), depth.cast("int")), F.lit('{"@type":"'), kind, F.lit('"}'), F.repeat(F.lit("]}"), depth.cast("int")))
+
+    body = F.concat(F.lit('<script type="application/ld+json">['), F.concat_ws(",", *map(element, range(3))), F.lit("]</script>"))
+    pages = read(spark, sf_dir, "pages").select("page_id", F.lit("https://jobs.lever.co/x").alias("url"), F.concat(body, "html").alias("html"), F.lit("lever").alias("provider"))
+    return validate.with_validation(pages).select("page_id", "reason_code", F.array_join("signals", "|").alias("signals"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagelode.functions import text, urls
 from pagelode.operators import audit, detect, incremental, listings, model_output, scrape, validate
 from pagelode.plans.payloads import CUSTOMERS_SQL, PAYLOADS, customers, parse_oracle, parse_query, payload_pages
-from pagelode.plans import page_queries, stream_queries, tier_queries  # noqa: F401 (they register their queries)
+from pagelode.plans import history_queries, page_queries, sql_queries, stream_queries, tier_queries  # noqa: F401 (they register their queries)
 from pagelode.plans.registry import ORACLES, QUERIES, query
 from pagelode.sources import fetches, sitemaps
 

@@ -12,26 +12,31 @@ from pagelode.streaming import rates, replay, sinks, url_state
 
 _EVENTS = """e AS (SELECT event_id, 's' || (user_id % 20) AS source, 'm' AS model, CAST(ts AS TIMESTAMP) AS ts,
  CASE event_type WHEN 'error' THEN 'salvaged' WHEN 'signup' THEN 'truncated' WHEN 'view' THEN 'failed' ELSE 'clean' END AS status FROM events)"""
-_RATED = f"""{_EVENTS}, r AS (SELECT event_id, source, status, count(*) OVER w AS n, avg(CASE WHEN status = 'salvaged' THEN 1.0 ELSE 0.0 END) OVER w AS rate FROM (SELECT *, epoch_us(ts) // 1000000 AS t FROM e)
+RATED = f"""{_EVENTS}, r AS (SELECT event_id, source, status, count(*) OVER w AS n, avg(CASE WHEN status = 'salvaged' THEN 1.0 ELSE 0.0 END) OVER w AS rate FROM (SELECT *, epoch_us(ts) // 1000000 AS t FROM e)
  WINDOW w AS (PARTITION BY source, model ORDER BY t RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW))"""
 
 
-def _answered(spark, sf_dir, build):
-    """A stream over the parse events that the batch queries take, closed by an event a month later."""
+def events(spark, sf_dir):
+    """The parse events that the batch queries take."""
     e = read(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "error", "salvaged").when(F.col("event_type") == "signup", "truncated").when(F.col("event_type") == "view", "failed").otherwise("clean")
-    events = e.select("event_id", F.concat(F.lit("s"), F.col("user_id") % 20).alias("source"), F.lit("m").alias("model"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
-    last = events.agg(F.max("ts").alias("ts")).first()["ts"]
-    return replay.answered(events, "ts", build, {"event_id": F.lit(-1), "source": F.lit(""), "ts": F.lit(last) + F.expr("INTERVAL 30 DAYS")})
+    return e.select("event_id", F.concat(F.lit("s"), F.col("user_id") % 20).alias("source"), F.lit("m").alias("model"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
+
+
+def _answered(spark, sf_dir, build):
+    """A stream over these events, closed by one a month later."""
+    rows = events(spark, sf_dir)
+    last = rows.agg(F.max("ts").alias("ts")).first()["ts"]
+    return replay.answered(rows, "ts", build, {"event_id": F.lit(-1), "source": F.lit(""), "ts": F.lit(last) + F.expr("INTERVAL 30 DAYS")})
 
 
-@query(f"WITH {_RATED} SELECT event_id, source, status, n, rate FROM r")
+@query(f"WITH {RATED} SELECT event_id, source, status, n, rate FROM r")
 def salvage_rate_stream(spark, sf_dir):
     """The salvage rate of a rolling day, event by event, from keyed state with timers."""
     return _answered(spark, sf_dir, rates.salvage_rate_stream).select("event_id", "source", "status", "n", "rate")
 
 
-@query(f"WITH {_RATED} SELECT event_id, source, n, rate FROM r WHERE status = 'salvaged' AND rate > 0.1")
+@query(f"WITH {RATED} SELECT event_id, source, n, rate FROM r WHERE status = 'salvaged' AND rate > 0.1")
 def salvage_alert_stream(spark, sf_dir):
     return _answered(spark, sf_dir, lambda s: rates.alert_stream(rates.salvage_rate_stream(s))).select("event_id", "source", "n", "rate")
 

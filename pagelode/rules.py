@@ -100,6 +100,9 @@ LINK = r"(?is)<a\s[^>]*href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"
 ASHBY_SLUG_JSON = r'"organizationHostedJobsPageName"\s*:\s*"([^"]+)"'
 ASHBY_SLUG_URL = r'ashbyhq\.com(?:/job-board)?/([^/"\s\?#]+)'
 ICIMS_LINK = r"(?i)href=[\"']([^\"']*(?:/jobs/\d+/job|module=jobdetail&iis=|JobDetail)[^\"']*)[\"']"
+ICIMS_LABEL = r"(?i)(?:aria-label|title)=[\"']([^\"']+)[\"']"
+ICIMS_CAPTION = r"(?i)href=[\"'][^\"']+[\"'][^>]*>\s*([^<]{3,80})"
+ICIMS_NEAR = 200
 WORKDAY_BLOB = r"(?s)\"jobPostings?\"\s*:\s*(\[.*?\])"
 NEXT_DATA = r"(?is)<script\s+id=[\"']__NEXT_DATA__[\"'][^>]*>(.*?)</script>"
 PHENOM_BLOCK = r"(?is)<[^>]+class=[\"'][^\"']*(?:ph-job|phw-job|ph-card|phw-card)[^\"']*[\"'][^>]*>(.*?)</(?:div|article|li)>"
@@ -119,6 +122,16 @@ BODY_CAP = 10 * 1024 * 1024
 ERROR_CAP = 200
 ODATA_PATH = "/odata/v2/JobRequisition"
 
+# Addresses that providers' readers ask for.
+TEAMTAILOR_HOST = "api.teamtailor.com"
+TEAMTAILOR_API = "https://api.teamtailor.com/v1/jobs?filter[company-slug]="
+RECRUITEE_PATH = "/api/offers"
+PINPOINT_PATH = "/jobs.json"
+BREEZY_PATH = "/json"
+PHENOM_API = "https://api.phenom.com/jobs-api/v1/jobs"
+ODATA_FORMAT = "$format=json"
+ROBOTS_PATH = "/robots.txt"
+
 # Provider, patterns on the page's URL, patterns on its HTML (both in any case), names of script globals, and addresses of its API.
 # They are tried in this order: all URL patterns, then all HTML patterns, then all globals.
 FINGERPRINTS = [
