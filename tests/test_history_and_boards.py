@@ -86,7 +86,7 @@ def test_boards_are_a_source_with_filters(spark):
     assert sorted((r["provider"], r["board"], r["offset"], len(json.loads(r["page"])["jobs"])) for r in every.collect()) == [("p", "a", 0, 3), ("p", "a", 3, 3), ("p", "a", 6, 1), ("p", "b", 0, 3), ("q", "d", 0, 3), ("q", "d", 3, 3)]
     some = every.where("provider = 'p' AND board IN ('a', 'zz') AND offset > 0")
     assert sorted(r["offset"] for r in some.collect()) == [3, 6] and some.rdd.getNumPartitions() == 1
-    plan = some._jdf.queryExecution().executedPlan().toString()
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(some._jdf.queryExecution(), "formatted")
     assert "EqualTo(provider,p)" in plan and "In(board, [a,zz])" in plan
     assert every.where("provider = 'none'").count() == 0
     assert boards.listed("no") == boards.listed("3") == boards.listed("{}") == 0 and boards.listed("[1,2]") == 2
