@@ -5,7 +5,7 @@ run in Arrow batches. A page without text, a null one and an answer that breaks
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +19,7 @@ from pagelode.functions.values import base_salary, get, is_object, iso_time, kin
 from pagelode.operators.listings import json_ld_postings
 from pagelode.operators.microdata import flat, items
 from pagelode.operators.model_output import Model, jobs_of
+from pagelode.operators.prune import content
 from pagelode.operators.validate import opengraph
 
 JOBS = "array<struct<title:string,url:string,location:string,employment_type:string,description:string,salary_range:string>>"
@@ -46,6 +47,11 @@ def markdown(html: Column) -> Column:
     return or_null(F.array_join(F.filter(lines, lambda x: ~x.rlike("^[-#]*$")), "\n"))
 
 
+def dense_markdown(html: Column) -> Column:
+    """A page's content by the density of its text, as Markdown, or null."""
+    return content(html)["markdown"]
+
+
 def microdata(html: Column) -> Column:
     """Array of (type, properties) of a page's items; a nested item is one of its own. Of equal names the first value counts."""
     return flat(items(html))
@@ -140,13 +146,15 @@ def asked(model: Model, prompt: Column, limit: int = 4096) -> Column:
     return ask(prompt)
 
 
-def extract(pages: DataFrame, local: Model | None = None, hosted: Model | None = None, html: str = "html") -> DataFrame:
-    """pages with jobs and tier (0, 2, 4, or null without jobs): the first tier that finds some decides."""
+def extract(pages: DataFrame, local: Model | None = None, hosted: Model | None = None, html: str = "html", prompt: Callable[[Column], Column] = markdown) -> DataFrame:
+    """pages with jobs and tier (0, 2, 4, or null without jobs): the first tier that finds some decides.
+
+    prompt: what the local model reads of a page: markdown(), or dense_markdown() where boilerplate bears no tags that say so."""
     ship_package(pages.sparkSession)
     c = F.col
     rows = pages.withColumn("_0", structured_jobs(c(html)))
     empty = F.size("_0") == 0
-    rows = rows.withColumn("_2", schema_listings(asked(local, F.when(empty, markdown(c(html)))))) if local else rows.withColumn("_2", _none())
+    rows = rows.withColumn("_2", schema_listings(asked(local, F.when(empty, prompt(c(html)))))) if local else rows.withColumn("_2", _none())
     empty = empty & (F.size("_2") == 0)
     rows = rows.withColumn("_4", hosted_listings(asked(hosted, F.when(empty, or_null(clean_lines(c(html))))))) if hosted else rows.withColumn("_4", _none())
     tier = F.when(F.size("_0") > 0, 0).when(F.size("_2") > 0, 2).when(F.size("_4") > 0, 4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from pagelode.operators import answers, fingerprints, microdata, validate
+from pagelode.operators import answers, fingerprints, microdata, prune, validate
 from pagelode.plans.registry import query, read
 
 
@@ -117,3 +117,22 @@ def validate_graphs(spark, sf_dir):
     body = F.concat(F.lit('<script type="application/ld+json">['), F.concat_ws(",", *map(element, range(3))), F.lit("]</script>"))
     pages = read(spark, sf_dir, "pages").select("page_id", F.lit("https://jobs.lever.co/x").alias("url"), F.concat(body, "html").alias("html"), F.lit("lever").alias("provider"))
     return validate.with_validation(pages).select("page_id", "reason_code", F.array_join("signals", "|").alias("signals"))
+
+
+_ARTICLE = r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS x FROM pages),
+t AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)</?(p|h1|h2|h3|ul|ol|li|br|blockquote|div|section|table|tr|td)(\s[^>]*)?/?>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]+>', '', 'g') AS x FROM a),
+d AS (SELECT page_id, replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS x FROM t)
+SELECT page_id, trim(regexp_replace(x, '\s+', ' ', 'g')) AS content FROM d"""
+
+
+@query(_ARTICLE)
+def pruned_pages(spark, sf_dir):
+    """The article of each page, set into containers of different kinds, with comments and links around it."""
+    k = F.col("page_id") % 4
+    opened = F.when(k == 0, "<article>").when(k == 1, '<div class="post-body">').when(k == 2, "<section><div>").otherwise("<table><tr><td>")
+    closed = F.when(k == 0, "</article>").when(k == 1, "</div>").when(k == 2, "</div></section>").otherwise("</td></tr></table>")
+    around = F.concat(F.lit('<div class="reader-comments"><p>'), F.repeat(F.lit("I liked it a lot. "), 12), F.lit('</p></div><div class="links"><a href="/a">One more page</a> <a href="/b">And another one</a></div>'))
+    parts = F.split("html", "</?article>")
+    page = F.concat(F.get(parts, F.lit(0)), opened, F.get(parts, F.lit(1)), closed, around, F.get(parts, F.lit(2)))
+    found = read(spark, sf_dir, "pages").select("page_id", prune.content(page).alias("c"))
+    return found.select("page_id", F.translate(F.coalesce("c.text", F.lit("")), "\n", " ").alias("content"))

@@ -38,10 +38,18 @@ def replayed(table: DataFrame, time: str, write: Callable[[DataFrame], DataStrea
     parts = [table.where(piece == k) for k in range(n)]
     if closing is not None:
         parts.append(spark.range(1).select(*(closing.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema.fields)))
-    for k, part in enumerate(parts):
-        part.write.parquet(f"{folder}/{k}")
-        query = write(spark.readStream.schema(table.schema).parquet(f"{folder}/*")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
+    # A stream keeps the number of its state's parts for good: in a local session one for each core, elsewhere the session's.
+    key, context = "spark.sql.shuffle.partitions", spark.sparkContext
+    before = spark.conf.get(key)
+    if context.master.startswith("local"):
+        spark.conf.set(key, str(min(int(before), context.defaultParallelism)))
+    try:
+        for k, part in enumerate(parts):
+            part.write.parquet(f"{folder}/{k}")
+            query = write(spark.readStream.schema(table.schema).parquet(f"{folder}/*")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
 
 
 def answered(table: DataFrame, time: str, build: Callable[[DataFrame], DataFrame], closing: dict[str, Column] | None = None, n: int = PIECES) -> DataFrame:

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagelode.operators import extraction, fingerprints, microdata
+from pagelode.operators import extraction, fingerprints, microdata, prune
 
 
 class Tree(HTMLParser):
@@ -173,3 +173,36 @@ def test_marks_and_their_order(spark):
     assert hints == ["https://{slug}.breezy.hr/json"]
     seen = {(r["k"], r["provider"], r["pattern"]) for r in fingerprints.evidence(pages, "k").collect()}
     assert (2, "sap_successfactors", "SFSF") in seen and (1, "breezy", "data-breezy") in seen
+
+
+def test_content_is_found_by_density_and_names():
+    story = "".join(f"<p>Paragraph {i} of the story, with a <a href='/x'>link</a> and some more words in it.</p>" for i in range(4))
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Menu entry {i}</a></li>" for i in range(9)) + "</ul>"
+    said = "<div class='user-comments'><p>" + "This is what I think about it all. " * 20 + "</p></div>"
+    for opened, closed in (("<article>", "</article>"), ("<div class='x'>", "</div>"), ("<table><tr><td>", "</table>"), ("<section><div>", "</div></section>")):
+        page = f"<body><div id='top'>{menu}</div>{opened}<h1>Title</h1>{story}{said}<form>Search the site now please</form>{closed}<div>{menu}</div><footer>All rights reserved by us</footer>"
+        text, marked, share = prune.content_of(page)
+        assert text.splitlines()[0] == "Title" and len(text.splitlines()) == 5, opened
+        assert "Menu" not in text and "think" not in text and "rights" not in text and "Search" not in text
+        assert marked.splitlines()[0] == "# Title" and "[link](/x)" in marked and 0 < share < 1
+
+
+def test_content_of_odd_pages(spark):
+    assert prune.content_of(None) == prune.content_of("") == prune.content_of("<nav>all of it</nav>") == prune.content_of("<a href=x>only a link</a>") == (None, None, None)
+    assert prune.content_of("just text &amp; more")[0] == "just text & more"
+    assert prune.content_of("<div>one<br>two<br/>three</div>")[0] == "one two three"
+    assert prune.content_of("<div><p>" + "word " * 30 + "<div><p>" * 500 + "deep text here")[0] is not None
+    deep = "<div>" * 3000 + "text at the end of it" + "</div>" * 3000
+    assert prune.content_of(deep)[0] == "text at the end of it"
+    pages = spark.createDataFrame([(1, "<p>text</p>"), (2, None)], "k int, html string")
+    got = {r["k"]: r["c"] for r in pages.select("k", prune.content(F.col("html")).alias("c")).collect()}
+    assert got[1]["markdown"] == "text" and (got[2] is None or got[2]["text"] is None)
+
+
+def test_a_local_model_may_read_dense_markdown(spark):
+    def model(texts, limit):
+        assert texts == ["text of the page"]
+        return [('[{"title":"b","url":"https://x/2"}]', False)]
+
+    pages = spark.createDataFrame([(1, "<div class='menu'>menu</div><p>text of the page</p>")], "k int, html string")
+    assert extraction.extract(pages.coalesce(1), model, prompt=extraction.dense_markdown).first()["tier"] == 2
