@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 #: Pieces of a replayed table.
-PIECES = 4
+PIECES = 2
 
 
 def shared_folder(spark: SparkSession) -> str:

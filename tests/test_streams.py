@@ -97,7 +97,7 @@ def test_a_killed_sink_leaves_no_row_twice_and_none_out(spark, tmp_path):
 
     write = lambda s: sinks.audited(s, folder, write=dies)
     with pytest.raises(Exception, match="killed"):
-        replay.replayed(pages, "ts", write, f"{tmp_path}/checkpoint", folder=f"{tmp_path}/pieces")
+        replay.replayed(pages, "ts", write, f"{tmp_path}/checkpoint", n=4, folder=f"{tmp_path}/pieces")
     assert sinks.committed(spark, folder) == [0, 1]
     seen = sinks.read_audited(spark, folder, pages.schema).union(sinks.read_audited(spark, folder, pages.schema, False))
     assert seen.count() == 20
