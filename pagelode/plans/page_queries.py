@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from pagelode.operators import answers, fingerprints, microdata, prune, validate
+from pagelode.operators import answers, fingerprints, listings, microdata, prune, scrape, validate
 from pagelode.plans.registry import query, read
 
 
@@ -136,3 +136,25 @@ def pruned_pages(spark, sf_dir):
     page = F.concat(F.get(parts, F.lit(0)), opened, F.get(parts, F.lit(1)), closed, around, F.get(parts, F.lit(2)))
     found = read(spark, sf_dir, "pages").select("page_id", prune.content(page).alias("c"))
     return found.select("page_id", F.translate(F.coalesce("c.text", F.lit("")), "\n", " ").alias("content"))
+
+
+@query("""WITH p AS (SELECT page_id AS k, page_id % 2 = 0 AS known, page_id % 11 = 0 AS bad, CASE WHEN page_id % 3 = 0 THEN 1 ELSE page_id % 4 * 2 END AS own FROM pages),
+b AS (SELECT *, CASE WHEN known THEN 0 WHEN k % 3 = 0 AND k % 5 < 3 THEN 3 ELSE own END AS base FROM p),
+j AS (SELECT *, CASE WHEN NOT known AND k % 7 BETWEEN 1 AND 3 AND (bad OR base < 5) THEN k % 7 ELSE base END AS jobs FROM b)
+SELECT k AS page_id, CASE WHEN bad AND (known OR jobs = 0) THEN 'fetch_failed' ELSE 'success' END AS "exit", CAST(CASE WHEN bad AND (known OR jobs = 0) THEN 0 ELSE jobs END AS INTEGER) AS jobs FROM j""")
+def scrape_ocr_and_rendered(spark, sf_dir):
+    """Read text stands in for pages with hardly any, and what a browser rendered for pages with few jobs; of unknown providers only."""
+    k = F.col("page_id")
+    job = "<j>title</j>"
+    words = F.repeat(F.lit("word "), 60)
+    rows = read(spark, sf_dir, "pages").select(
+        "page_id", F.concat(F.when(k % 2 == 0, "https://jobs.lever.co/x/").otherwise("https://example.com/careers/"), k).alias("url"), F.when(k % 11 == 0, 500).otherwise(200).alias("status_code"),
+        F.when(k % 3 == 0, job).otherwise(F.concat("html", words, F.repeat(F.lit(job), (k % 4 * 2).cast("int")))).alias("content"),
+        F.when(k % 5 < 3, job * 3).alias("ocr_text"), F.when(k % 7 < 4, F.repeat(F.lit(job), (k % 7).cast("int"))).alias("rendered_html"),
+    )
+
+    def own(content, page):
+        return F.transform(F.regexp_extract_all(content, F.lit("<j>([^<]*)</j>"), F.lit(1)), lambda t: listings._listing("own", t, page, F.lit("{}")))
+
+    out = scrape.scrape(rows, fallback=own, only=["lever"]).join(rows.select("url", "page_id"), "url")
+    return out.select("page_id", "exit", F.size("jobs").alias("jobs"))
