@@ -12,7 +12,8 @@ shard leaves at most one batch unfilled.
 
 Defined cases: rows without a length count as 0; a row longer than the budget is a batch by itself; rows of
 equal doc_id share a shard and are in order of length; those without a doc_id are dealt by a hash of their
-strings and whole numbers; an empty table has no buckets and no rows.
+strings and whole numbers; repeated rows are packed each; an empty table has no buckets and no rows. Columns that have a name of those added here
+give way to them, all others stay.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ met before), joined to the frequencies and summed. No ids are made. The join sta
 pre-tokens would need (document, pre-token, frequency) rows to move through a shuffle, which writes more than the input.
 
 Defined cases: a null or empty text has 0 bytes and tokens; repeated rows are counted each; strings of special tokens inside a
-text count as the library's default has it (one special token each).
+text count as the library's default has it (one special token each); a null doc_id is kept; columns besides doc_id and text are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ most about some category. Only the fit is on a sample: at most SAMPLE labelled r
 
 Defined cases: a null or empty text has no word and gets the prior; null labels aren't learned from, nor is a doc_id whose label
 rows contradict each other; of a repeated doc_id's texts the least is learned from;
-repeated rows are scored each; without any labelled row, no row is toxic. The probability from which
+repeated rows are scored each; columns called p_<category> or toxic give way to the operator's own, all others stay; without any labelled
+row, no row is toxic. The probability from which
 a text counts as toxic is the one that best parts the out-of-fold predictions of the last category (by F1).
 """
 

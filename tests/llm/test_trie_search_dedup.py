@@ -314,3 +314,18 @@ def test_word_scores_equal_a_plain_scorer():
     for n in range(len(langid.SCRIPTS) + 1):
         uses = [share[c, n] >= langid.SCRIPT_SHARE for c in range(3)]
         assert list(model.off[n]) == [langid.OFF_SCRIPT if any(uses) and not u else 0 for u in uses]
+
+
+def test_columns_named_as_an_operators_own_give_way(spark):
+    from pagelode.llm import packing, queries, toxicity
+
+    rows = [(i, "der hund und die katze" if i % 2 else "the dog and the cat", "de" if i % 2 else "en", "x", 7, "s", "p", "t", 9) for i in range(12)] + [(None, None, None, "x", 7, "s", "p", "t", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, lang_score int, spans string, p_toxic string, toxic string, bucket int")
+    found = langid.identify(docs, langid.fit(docs.where("doc_id is not null")), spans=True)
+    assert sorted(found.columns) == sorted(docs.columns)
+    assert {r["lang_pred"] for r in found.collect()} == {"de", "en", "und"} and all(isinstance(r["lang_score"], float) for r in found.collect())
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, queries.TOXICITY))
+    assert sorted(scored.columns) == sorted({*docs.columns, "p_low_quality"}) and {type(r["toxic"]) for r in scored.collect()} == {bool}
+    packed = packing.pack(docs.withColumn("n_tokens", packing.word_count()))
+    assert packed.count() == 13 and len(set(packed.columns)) == len(packed.columns)
