@@ -60,18 +60,19 @@ def links(c: Column) -> Column:
 def clean_lines(c: Column) -> Column:
     """Text lines of a page: no scripts or styles, links as `label (target)`, other tags as line ends, no blank lines.
 
-    A link's label may hold tags. The text is cut before each link, so that every label is stripped by itself."""
-    body = F.regexp_replace(c, rules.SCRIPT_STYLE, "")
-    parts = F.split(body, r"(?is)(?=<a\s[^>]*href=[\"'][^\"']+[\"'][^>]*>.*?</a>)")
+    A link's label may hold tags. The text is cut at the links' ends, so that each piece has one link at most, its last one: pages of
+    links that never end take no longer than others."""
+    pieces = F.split(F.regexp_replace(c, rules.SCRIPT_STYLE, ""), "(?i)</a>", -1)
+    whole = r"(?is)^(.*)<a\s[^>]*href=[\"']([^\"']+)[\"'][^>]*>(.*)$"
 
     def link(x: Column) -> Column:
-        whole = r"(?is)^<a\s[^>]*href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>(.*)$"
-        label = strip_tags(F.regexp_extract(x, whole, 2))
-        target = F.regexp_extract(x, whole, 1)
-        text = F.when(label == "", target).otherwise(F.concat(label, F.lit(" ("), target, F.lit(")")))
-        return F.when(x.rlike(whole), F.concat(text, F.regexp_extract(x, whole, 3))).otherwise(x)
+        label, target = strip_tags(F.regexp_extract(x, whole, 3)), F.regexp_extract(x, whole, 2)
+        return F.concat(F.regexp_extract(x, whole, 1), F.when(label == "", target).otherwise(F.concat(label, F.lit(" ("), target, F.lit(")"))))
 
-    text = F.regexp_replace(F.array_join(F.transform(parts, link), ""), rules.TAG, "\n")
+    ended = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda x: F.when(x.rlike(whole), link(x)).otherwise(F.concat(x, F.lit("</a>"))))
+    parts = F.concat(ended, F.slice(pieces, -1, 1))
+
+    text = F.regexp_replace(F.array_join(parts, ""), rules.TAG, "\n")
     text = F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " ")
     return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda x: x != ""), "\n")
 

@@ -49,3 +49,22 @@ def latest_before(events: DataFrame, scrapes: DataFrame, key: str = "url") -> Da
     upto = Window.partitionBy(key).orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
     joined = left.unionByName(right).withColumn("_last", F.last("_s", ignorenulls=True).over(upto)).where("_side = 1")
     return joined.select(key, "ts", *([F.col("_e")[k].alias(k) for k in keep]), F.col("_last")["ts"].alias("prev_ts"), F.col("_last")["content_hash"].alias("prev_hash"))
+
+
+def latest_before_split(events: DataFrame, scrapes: DataFrame, key: str = "url", seconds: int = 86_400) -> DataFrame:
+    """As latest_before(), for keys of any history: no window holds more than one key's rows of one span of time.
+
+    Within a span the last scrape is found by one sort; where a span has none before an event, the last one of the spans before it
+    stands, from a window with a row for each span."""
+    from pyspark.sql import Window
+
+    at = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds)
+    near = latest_before(events.withColumn("_span", at).withColumn("_key", F.struct(key, "_span")), scrapes.select(F.struct(F.col(key), at.alias("_span")).alias("_key"), "ts", "content_hash"), "_key")
+    last = scrapes.groupBy(F.col(key).alias("_k"), at.alias("_s")).agg(F.max(F.struct(F.col("ts").cast("timestamp").alias("ts"), "content_hash")).alias("_l"))
+    spans = last.unionByName(events.select(F.col(key).alias("_k"), at.alias("_s")).distinct(), allowMissingColumns=True).groupBy("_k", "_s").agg(F.max("_l").alias("_l"))
+    earlier = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select("_k", "_s", F.last("_l", ignorenulls=True).over(earlier).alias("_c"))
+    rows = near.join(carried, near[key].eqNullSafe(carried["_k"]) & near["_span"].eqNullSafe(carried["_s"]), "left")
+    keep = [c for c in events.columns if c not in (key, "ts")]
+    found = F.when(F.col("prev_ts").isNotNull(), F.struct(F.col("prev_ts").alias("ts"), F.col("prev_hash").alias("content_hash"))).otherwise(F.col("_c"))
+    return rows.withColumn("_f", found).select(near[key], near["ts"], *keep, F.col("_f")["ts"].alias("prev_ts"), F.col("_f")["content_hash"].alias("prev_hash"))

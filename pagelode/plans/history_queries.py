@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelode.operators import audit, history
+from pagelode.operators import audit, history, incremental
 from pagelode.plans.registry import query, read
 from pagelode.plans.stream_queries import RATED, events
 
@@ -31,3 +31,13 @@ def listing_intervals(spark, sf_dir):
     snapshots = o.select(F.col("o_orderpriority").alias("board"), (F.col("o_custkey") % 40).alias("listing"), F.date_trunc("month", F.col("o_orderdate").cast("timestamp")).alias("at"))
     found = history.intervals(snapshots)
     return found.select("board", "listing", "nth", *(F.unix_seconds(c).alias(c) for c in ("first_seen", "last_seen", "closed_at")), "seen", "away")
+
+
+@query("""WITH e AS (SELECT o_orderkey AS k, 'u' || (o_custkey % 50) AS url, CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders),
+s AS (SELECT url, ts, 'h' || max(k) AS content_hash FROM e WHERE k % 17 = 0 GROUP BY url, ts)
+SELECT e.url, e.ts, e.k, s.ts AS prev_ts, s.content_hash AS prev_hash FROM e ASOF LEFT JOIN s ON e.url = s.url AND e.ts >= s.ts""")
+def latest_scrape_split(spark, sf_dir):
+    """The last scrape at or before each event, without a task for each URL's history."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("u"), F.col("o_custkey") % 50).alias("url"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    scrapes = o.where("k % 17 = 0").groupBy("url", "ts").agg(F.concat(F.lit("h"), F.max("k")).alias("content_hash"))
+    return incremental.latest_before_split(o, scrapes, seconds=30 * 86_400).select("url", "ts", "k", "prev_ts", "prev_hash")

@@ -150,3 +150,24 @@ def test_types_in_document_order_and_no_python_without_deep_graphs(spark):
     assert rows.select(validate.json_ld_types(F.col("html"))).first()[0] == ["NewsArticle", "BlogPosting"]
     branches = validate.with_validation(rows)._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython")
     assert len(branches) == 2 and "@graph" in branches[1]  # the one Python step is behind the filter on graphs
+
+
+def test_split_as_of_join_equals_the_plain_one(spark):
+    from pagelode.operators import incremental
+
+    rng = random.Random(9)
+    at = lambda: START + dt.timedelta(hours=rng.randrange(24 * 40))
+    events = spark.createDataFrame([(rng.choice(["a", "b", "c", None]), at(), k) for k in range(120)], "url string, ts timestamp, k int")
+    scrapes = spark.createDataFrame(list({(u, t): (u, t, f"h{i}") for i, (u, t) in enumerate((rng.choice(["a", "b"]), at()) for _ in range(12))}.values()), "url string, ts timestamp, content_hash string")
+    rows = lambda df: sorted(map(str, (tuple(r) for r in df.select("url", "ts", "k", "prev_ts", "prev_hash").collect())))
+    want = rows(incremental.latest_before(events, scrapes))
+    assert rows(incremental.latest_before_split(events, scrapes)) == want == rows(incremental.latest_before_split(events, scrapes, seconds=3600))
+    assert rows(incremental.latest_before_split(events, scrapes.where("false"))) == rows(incremental.latest_before(events, scrapes.where("false")))
+
+
+def test_links_that_never_end(spark):
+    from pagelode.functions.text import clean_lines
+
+    pages = [('a <a href="x">la<b>b</b>el</a> c</a> d <A HREF=\'y\'></A>e <a href="z">open', "a label (x) c\nd ye\nopen"), ('<a href=x>q</a><a href="x">foo<a href="y">bar</a>t', "q\nfoobar (y)t"), ('<a href="x">link ' * 20_000, "\n".join(["link"] * 20_000))]
+    frame = spark.createDataFrame(pages, "html string, want string")
+    assert [r[0] for r in frame.select(clean_lines(F.col("html"))).collect()] == [w for _, w in pages]
