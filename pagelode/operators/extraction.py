@@ -5,6 +5,7 @@ run in Arrow batches. A page without text, a null one and an answer that breaks
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,6 +22,7 @@ from pagelode.operators.microdata import flat, items
 from pagelode.operators.model_output import Model, jobs_of
 from pagelode.operators.prune import content
 from pagelode.operators.validate import opengraph
+from pagelode.streaming.replay import shared_folder
 
 JOBS = "array<struct<title:string,url:string,location:string,employment_type:string,description:string,salary_range:string>>"
 
@@ -146,16 +148,24 @@ def asked(model: Model, prompt: Column, limit: int = 4096) -> Column:
     return ask(prompt)
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """rows written to the shared folder: models are asked where this runs, and by no later action."""
+    path = f"{shared_folder(rows.sparkSession)}/answers-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def extract(pages: DataFrame, local: Model | None = None, hosted: Model | None = None, html: str = "html", prompt: Callable[[Column], Column] = markdown) -> DataFrame:
     """pages with jobs and tier (0, 2, 4, or null without jobs): the first tier that finds some decides.
 
+    Models are asked once, here: their answers are kept in the shared folder for all later actions.
     prompt: what the local model reads of a page: markdown(), or dense_markdown() where boilerplate bears no tags that say so."""
     ship_package(pages.sparkSession)
     c = F.col
     rows = pages.withColumn("_0", structured_jobs(c(html)))
     empty = F.size("_0") == 0
-    rows = rows.withColumn("_2", schema_listings(asked(local, F.when(empty, prompt(c(html)))))) if local else rows.withColumn("_2", _none())
+    rows = _once(rows.withColumn("_2", schema_listings(asked(local, F.when(empty, prompt(c(html))))))) if local else rows.withColumn("_2", _none())
     empty = empty & (F.size("_2") == 0)
-    rows = rows.withColumn("_4", hosted_listings(asked(hosted, F.when(empty, or_null(clean_lines(c(html))))))) if hosted else rows.withColumn("_4", _none())
+    rows = _once(rows.withColumn("_4", hosted_listings(asked(hosted, F.when(empty, or_null(clean_lines(c(html)))))))) if hosted else rows.withColumn("_4", _none())
     tier = F.when(F.size("_0") > 0, 0).when(F.size("_2") > 0, 2).when(F.size("_4") > 0, 4)
     return rows.withColumn("tier", tier).withColumn("jobs", F.when(tier == 0, c("_0")).when(tier == 2, c("_2")).otherwise(c("_4"))).drop("_0", "_2", "_4")

@@ -206,3 +206,18 @@ def test_a_local_model_may_read_dense_markdown(spark):
 
     pages = spark.createDataFrame([(1, "<div class='menu'>menu</div><p>text of the page</p>")], "k int, html string")
     assert extraction.extract(pages.coalesce(1), model, prompt=extraction.dense_markdown).first()["tier"] == 2
+
+
+def test_models_are_asked_once_however_many_actions_there_are(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def model(texts, limit):
+        with open(log, "a") as out:
+            out.writelines(t + "\n" for t in texts)
+        return [('[{"title":"b","url":"https://x/2"}]', False) if "two" in t else ("no", False) for t in texts]
+
+    pages = spark.createDataFrame([(1, "<p>page one</p>"), (2, "<p>page two</p>"), (3, None)], "k int, html string")
+    found = extraction.extract(pages.coalesce(1), model, model)
+    assert found.count() == 3 and sorted((r["k"], r["tier"]) for r in found.collect()) == [(1, None), (2, 2), (3, None)]
+    with open(log) as asked:
+        assert sorted(asked.read().split("\n")) == ["", "page one", "page one", "page two"]  # by the local model, then by the hosted one
