@@ -26,14 +26,6 @@ from pagelode.streaming.replay import shared_folder
 
 JOBS = "array<struct<title:string,url:string,location:string,employment_type:string,description:string,salary_range:string>>"
 
-#: Name to (type, whether it's required) of the schema that the local model is asked for.
-POSTING = {
-    "title": ("string", True), "url": ("string", True), "company": ("string", False), "location": ("string", False),
-    "employment_type": ("string", False), "remote_policy": ("string", False), "description": ("string", False),
-    "salary_min": ("double", False), "salary_max": ("double", False), "salary_currency": ("string", False),
-    "posted_at": ("timestamp", False), "apply_url": ("string", False),
-}
-
 
 def markdown(html: Column) -> Column:
     """A page's content as Markdown, or null: no scripts, menus, headers, footers, sidebars, forms or comments; headings, list items,
@@ -64,7 +56,7 @@ def structured_data(html: Column) -> Column:
     return F.struct(json_ld_postings(html).alias("job_postings"), microdata(html).alias("microdata"), opengraph(html).alias("opengraph"))
 
 
-def schema_rows(answer: Column, fields: dict[str, tuple[str, bool]] = POSTING) -> Column:
+def schema_rows(answer: Column, fields: dict[str, tuple[str, bool]] = rules.POSTING) -> Column:
     """Array of structs of a model's answer ({"items": [...]} or an array); null if it's no such JSON or any item breaks the schema.
 
     fields: name to (string, double or timestamp; whether required). Numbers and times may stand in strings."""

@@ -156,3 +156,11 @@ FINGERPRINTS = [
     ),
 ]
 FINGERPRINT_URL, FINGERPRINT_HTML = 0.9, 0.85
+
+# Fields of the schema that the local model is asked for: name to (type, whether it's required).
+POSTING = {
+    "title": ("string", True), "url": ("string", True), "company": ("string", False), "location": ("string", False),
+    "employment_type": ("string", False), "remote_policy": ("string", False), "description": ("string", False),
+    "salary_min": ("double", False), "salary_max": ("double", False), "salary_currency": ("string", False),
+    "posted_at": ("timestamp", False), "apply_url": ("string", False),
+}
