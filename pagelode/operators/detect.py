@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode import rules
 from pagelode.functions import urls
-from pagelode.functions.text import strip_tags
+from pagelode.functions.text import let, strip_tags
 
 UNKNOWN = "unknown"
 
@@ -20,14 +23,36 @@ def provider_of_url(url: Column) -> Column:
     return out
 
 
+def _cores(pattern: str) -> list[list[list[str]]]:
+    """Of each choice of a pattern what a match has in it, in lower case: one literal of each list."""
+    out = []
+    for choice in re.split(r"\|(?![^(]*\))", pattern.removeprefix("(?i)")):
+        plain = re.sub(r"\\\.", "\0", choice)
+        groups = [g.split("|") for g in re.findall(r"\((?:\?:)?([^)]*)\)(?![*?])", plain)]
+        parts = [[x] for x in re.split(r"\[[^\]]*\][*+?]?|\([^)]*\)[*+?]?|[.*+?^$]", plain) if x]
+        out.append([[x.replace("\0", ".").lower() for x in one] for one in parts + groups])
+    return out
+
+
+def _near(low: Column, pattern: str) -> Column:
+    either = lambda found: reduce(lambda a, b: a | b, found)
+    return either([reduce(lambda a, b: a & b, [either([low.contains(x) for x in one]) for one in choice]) for choice in _cores(pattern)])
+
+
 def _best_dom(html: Column, value: int) -> Column:
-    """A column of the best DOM rule: of the highest confidence, the earliest rule that matches."""
-    out = F.lit(UNKNOWN if value == 0 else 0.0)
+    """A column of the best DOM rule: of the highest confidence, the earliest rule that matches.
+
+    A rule's pattern is tried only on pages that have its literals, which are looked for in one lower-case copy of the page."""
     ranked = sorted(range(len(rules.DOM_RULES)), key=lambda i: (-rules.DOM_RULES[i][2], i))
-    for i in reversed(ranked):
-        rule = rules.DOM_RULES[i]
-        out = F.when(html.rlike(rule[1]), rule[0] if value == 0 else rule[2]).otherwise(out)
-    return out
+
+    def best(low: Column) -> Column:
+        out = F.lit(UNKNOWN if value == 0 else 0.0)
+        for i in reversed(ranked):
+            rule = rules.DOM_RULES[i]
+            out = F.when(_near(low, rule[1]) & html.rlike(rule[1]), rule[0] if value == 0 else rule[2]).otherwise(out)
+        return out
+
+    return let(F.lower(html), best)
 
 
 def provider_of_dom(html: Column) -> Column:
