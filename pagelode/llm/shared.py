@@ -47,10 +47,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs only a read."""
+def saved(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs only a read.
+
+    group: the rows of a row group, for tables of long rows: a task holds one group when it writes and when it reads."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.row.count.limit", group) if group else df.write).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._pagelode_path = path
     return table

@@ -37,6 +37,8 @@ from pagelode.llm.shared import chunks, prepare, runs, saved, string_column, wor
 TOP = 10
 #: Terms, with repeats, from which on a shard is closed.
 SHARD = 1 << 18
+#: Shards held at once by a task that writes or reads them, whatever it has of them.
+GROUP = 4
 #: Bytes of items told to every task at once.
 BLOCK = 1 << 23
 
@@ -113,7 +115,7 @@ def index(docs: DataFrame, most: int = SHARD) -> DataFrame:
     """The shards of documents (doc_id, text), one row each, written."""
     prepare(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return saved(slim.mapInArrow(lambda it: _shards(it, most), _INDEX), "shards")
+    return saved(slim.mapInArrow(lambda it: _shards(it, most), _INDEX), "shards", GROUP)
 
 
 def weight(n: int, df: int) -> int:

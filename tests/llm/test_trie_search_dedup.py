@@ -10,7 +10,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
@@ -153,6 +155,15 @@ def test_search_of_nothing(spark):
     assert wand.search(wand.index(spark.createDataFrame([(1, "a")], "doc_id long, text string")), asked.where("false")).collect() == []
 
 
+def test_shards_are_held_a_few_at_a_time(spark):
+    docs = spark.range(0, 60, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a b c d e f").alias("text"))
+    shards = wand.index(docs, 6)
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in shards.inputFiles()]
+    assert sum(f.metadata.num_rows for f in files) >= 20
+    assert max(f.metadata.row_group(g).num_rows for f in files for g in range(f.metadata.num_row_groups)) <= wand.GROUP
+
+
+
 def test_wand_scores_only_what_may_win():
     """Documents that can't reach the heap's lowest score are skipped."""
     rng = random.Random(5)
