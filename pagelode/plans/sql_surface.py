@@ -43,10 +43,22 @@ def functions() -> dict[str, str]:
         "challenge_reason": "(status INT, body STRING) RETURNS STRING RETURN CASE WHEN status = 403 THEN 'http_403' WHEN "
         + " OR ".join(f"contains(lower(coalesce(body, '')), {_quoted(m)})" for m in rules.CHALLENGE_MARKS)
         + " THEN 'cloudflare_challenge_body' END",
-        # One row for each parse event: the rolling day of its source.
-        "salvage_rates": """() RETURNS TABLE(event_id BIGINT, source STRING, model STRING, status STRING, n BIGINT, rate DOUBLE)
-            RETURN SELECT event_id, source, model, status, count(*) OVER day AS n, avg(CAST(coalesce(status = 'salvaged', false) AS DOUBLE)) OVER day AS rate FROM parse_events
-            WINDOW day AS (PARTITION BY source, model ORDER BY unix_seconds(ts) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)""",
+        # One row for each parse event: the rolling day of its source, as audit.salvage_rates_split() finds it from seconds and whole hours.
+        "salvage_rates": """() RETURNS TABLE(event_id BIGINT, source STRING, model STRING, status STRING, n BIGINT, rate DOUBLE) RETURN
+            WITH seconds AS (SELECT source, model, unix_seconds(ts) AS t, floor(unix_seconds(ts) / 3600) AS h, count(*) AS n, count_if(coalesce(status = 'salvaged', false)) AS s
+                FROM parse_events GROUP BY source, model, unix_seconds(ts)),
+            hours AS (SELECT source, model, h, sum(sum(n)) OVER day AS n, sum(sum(s)) OVER day AS s FROM seconds WHERE t IS NOT NULL GROUP BY source, model, h
+                WINDOW day AS (PARTITION BY source, model ORDER BY h RANGE BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+            moves AS (SELECT source, model, h, t, n, s, true AS come FROM seconds
+                UNION ALL SELECT source, model, h + 24, t + 86400, n, s, false FROM seconds WHERE t IS NOT NULL),
+            here AS (SELECT source, model, h, t, come, sum(IF(come, n, 0)) OVER up_to - coalesce(sum(IF(come, 0, n)) OVER past, 0) AS n,
+                sum(IF(come, s, 0)) OVER up_to - coalesce(sum(IF(come, 0, s)) OVER past, 0) AS s FROM moves
+                WINDOW up_to AS (PARTITION BY source, model, h ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                past AS (PARTITION BY source, model, h ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+            rated AS (SELECT x.source, x.model, x.t, x.n + coalesce(b.n, 0) AS n, (x.s + coalesce(b.s, 0)) / (x.n + coalesce(b.n, 0)) AS rate FROM here x
+                LEFT JOIN hours b ON x.source <=> b.source AND x.model <=> b.model AND x.h = b.h WHERE x.come)
+            SELECT e.event_id, e.source, e.model, e.status, r.n, r.rate FROM parse_events e
+            JOIN rated r ON e.source <=> r.source AND e.model <=> r.model AND unix_seconds(e.ts) <=> r.t""",
     }
 
 
