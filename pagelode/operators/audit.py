@@ -16,28 +16,31 @@ def reject_rates(validated: DataFrame) -> DataFrame:
 
 
 def salvage_rates(events: DataFrame, hours: int = 24) -> DataFrame:
-    """events (source, model, ts, status) with n and rate: events and share of salvaged ones in the day up to each, its peers included."""
-    day = Window.partitionBy("source", "model").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-hours * 3600, 0)
-    return events.withColumn("n", F.count("*").over(day)).withColumn("rate", F.avg(F.coalesce(F.col("status") == rules.SALVAGED, F.lit(False)).cast("double")).over(day))
+    """events (source, model, ts, status) with n and rate: events and share of salvaged ones in the day up to each, its peers included.
+
+    A range window would go through a whole day of a source for each event of it."""
+    return salvage_rates_split(events, hours)
 
 
 def salvage_rates_split(events: DataFrame, hours: int = 24) -> DataFrame:
     """As salvage_rates(), for sources of any size: no window holds more than two hours of one source, counted by second.
 
     A day up to t is the whole hours before t's own, and what t's hour has up to t, less what has left again: events of the hour a day before
-    come into t's hour once more, a day later, as leaving. Hours as wholes are a window of a row for each hour."""
+    come into t's hour once more, a day later, as leaving. Hours as wholes are a window of a row for each hour. Events without a time count
+    for each other."""
     hour, span = 3600, hours * 3600
     keyed = events.withColumn("_t", F.unix_seconds(F.col("ts").cast("timestamp")))
-    salvaged = F.count_if(F.coalesce(F.col("status") == rules.SALVAGED, F.lit(False)))
-    seconds = keyed.groupBy("source", "model", "_t").agg(F.count("*").alias("n"), salvaged.alias("s")).withColumn("_h", F.floor(F.col("_t") / hour))
-    per_hour = seconds.groupBy("source", "model", "_h").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    of_seconds = (F.count("*").alias("n"), F.count_if(F.coalesce(F.col("status") == rules.SALVAGED, F.lit(False))).alias("s"))
+    seconds = keyed.groupBy("source", "model", "_t").agg(*of_seconds).withColumn("_h", F.floor(F.col("_t") / hour))
+    timed = seconds.where("_t is not null")
+    per_hour = timed.groupBy("source", "model", "_h").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     # Each hour's totals stand for the hours after it, which may have no event of the hours before.
     before = Window.partitionBy("source", "model").orderBy("_h").rangeBetween(-hours, -1)
     totals = per_hour.select(
         F.col("source").alias("_source"), F.col("model").alias("_model"), F.col("_h").alias("_hour"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s_before")
     )
     moves = seconds.select("source", "model", "_h", "_t", "n", "s", F.lit(True).alias("_in")).unionByName(
-        seconds.select("source", "model", (F.col("_h") + hours).alias("_h"), (F.col("_t") + span).alias("_t"), "n", "s", F.lit(False).alias("_in"))
+        timed.select("source", "model", (F.col("_h") + hours).alias("_h"), (F.col("_t") + span).alias("_t"), "n", "s", F.lit(False).alias("_in"))
     )
     own = Window.partitionBy("source", "model", "_h").orderBy("_t")
     up_to, past = own.rangeBetween(Window.unboundedPreceding, 0), own.rangeBetween(Window.unboundedPreceding, -1)
@@ -47,10 +50,11 @@ def salvage_rates_split(events: DataFrame, hours: int = 24) -> DataFrame:
         return F.coalesce(come, F.lit(0)) - F.coalesce(gone, F.lit(0))
 
     here = moves.withColumn("n_here", within("n")).withColumn("s_here", within("s")).where("_in")
-    whole = here.join(totals, F.col("source").eqNullSafe(F.col("_source")) & F.col("model").eqNullSafe(F.col("_model")) & (F.col("_h") == F.col("_hour")))
-    n = F.col("n_before") + F.col("n_here")
-    rated = whole.select(F.col("source").alias("_source"), F.col("model").alias("_model"), F.col("_t").alias("_second"), n.alias("n"), ((F.col("s_before") + F.col("s_here")) / n).alias("rate"))
-    found = keyed.join(rated, F.col("source").eqNullSafe(F.col("_source")) & F.col("model").eqNullSafe(F.col("_model")) & (F.col("_t") == F.col("_second")))
+    whole = here.join(totals, F.col("source").eqNullSafe(F.col("_source")) & F.col("model").eqNullSafe(F.col("_model")) & (F.col("_h") == F.col("_hour")), "left")
+    n = F.coalesce("n_before", F.lit(0)) + F.col("n_here")
+    salvaged = F.coalesce("s_before", F.lit(0)) + F.col("s_here")
+    rated = whole.select(F.col("source").alias("_source"), F.col("model").alias("_model"), F.col("_t").alias("_second"), n.alias("n"), (salvaged / n).alias("rate"))
+    found = keyed.join(rated, F.col("source").eqNullSafe(F.col("_source")) & F.col("model").eqNullSafe(F.col("_model")) & F.col("_t").eqNullSafe(F.col("_second")))
     return found.drop("_t", "_source", "_model", "_second")
 
 

@@ -171,3 +171,23 @@ def test_links_that_never_end(spark):
     pages = [('a <a href="x">la<b>b</b>el</a> c</a> d <A HREF=\'y\'></A>e <a href="z">open', "a label (x) c\nd ye\nopen"), ('<a href=x>q</a><a href="x">foo<a href="y">bar</a>t', "q\nfoobar (y)t"), ('<a href="x">link ' * 20_000, "\n".join(["link"] * 20_000))]
     frame = spark.createDataFrame(pages, "html string, want string")
     assert [r[0] for r in frame.select(clean_lines(F.col("html"))).collect()] == [w for _, w in pages]
+
+
+def test_rates_of_dense_sources(spark):
+    """Against a plain count, with events without a time, a source or a status; no window holds the rows of a source's days, in SQL neither."""
+    rng = random.Random(5)
+    rows = [(k, rng.choice(["a", None]), "m", START + dt.timedelta(seconds=rng.choice([rng.randrange(400_000), 86_400, 172_800])) if k % 9 else None, rng.choice(["salvaged", "clean", None])) for k in range(300)]
+    events = spark.createDataFrame(rows, "event_id long, source string, model string, ts timestamp, status string")
+    want = []
+    for k, source, _, ts, _ in rows:
+        day = [r for r in rows if r[1] == source and (r[3] is None if ts is None else r[3] is not None and ts - dt.timedelta(days=1) <= r[3] <= ts)]
+        want.append((k, len(day), round(sum(r[4] == "salvaged" for r in day) / len(day), 9)))
+    shape = lambda df: sorted((r["event_id"], r["n"], round(r["rate"], 9)) for r in df.collect())
+    found = audit.salvage_rates(events)
+    assert shape(found) == want
+    events.createOrReplaceTempView("parse_events")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION salvage_rates{sql_surface.functions()['salvage_rates']}")
+    in_sql = spark.sql("SELECT * FROM salvage_rates()")
+    assert shape(in_sql) == want
+    for df in (found, in_sql):
+        assert "86400" not in "".join(line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line)
