@@ -327,6 +327,22 @@ def test_quality_edges(spark, edges, nothing, docs):
     assert quality.judge(nothing, docs.select("doc_id")).count() == 0
 
 
+def test_trusted_rows_all_count(spark):
+    """More trusted rows than the bound of 20,000 that was there: each is marked, and the threshold is the exact quantile of all scores."""
+    ids = spark.range(-500, 21_500).select((F.col("id") * 3).alias("doc_id"))
+    trusted = ids.where("doc_id % 2 = 0 or doc_id > 3000").select("doc_id").union(spark.createDataFrame([(None,), (1,)], "doc_id long"))
+    want = {r[0] for r in trusted.join(ids, "doc_id").select("doc_id").collect()}
+    assert len(want) > 20_000
+    bits = quality.bitmaps(trusted)
+    marked = quality.with_trust(ids.select("doc_id"), bits)
+    assert {r[0] for r in marked.where("_t = 1").collect()} == want and marked.count() == 22_000
+    scores = spark.range(1000).select((F.col("id") * 0.37 % 11).alias("score"))
+    for q in (0.0, 0.001, 0.0137, 0.5, 1.0):
+        assert abs(quality.percentile(scores, q).first()[0] - np.percentile([r[0] for r in scores.collect()], 100 * q)) < 1e-9
+    assert quality.percentile(scores.where("false"), 0.001).first()[0] is None
+
+
+
 def test_quality_keeps_trusted(spark, data):
     big = data.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{big}/labels.parquet")
