@@ -30,6 +30,10 @@ VALUES = {
     "a": "href", "area": "href", "link": "href", "object": "data", "data": "value", "meter": "value", "time": "datetime",
 }
 
+#: Pages whose items are held at once, however many a batch has.
+PAGES = 64
+
+
 def items_of(page: str | None) -> list[dict]:
     """The items of one page as rows of ITEMS, owners before what they own."""
     p = Elements(page or "")
@@ -95,7 +99,9 @@ def items_of(page: str | None) -> list[dict]:
 
 def _items(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in pages:
-        yield pd.Series([[] if page is None else items_of(page) for page in part], index=part.index, dtype=object)
+        for k in range(0, len(part), PAGES):
+            some = part.iloc[k : k + PAGES]
+            yield pd.Series([[] if page is None else items_of(page) for page in some], index=some.index, dtype=object)
 
 
 def items(html: Column) -> Column:

@@ -3,6 +3,7 @@
 from html.parser import HTMLParser
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -232,3 +233,10 @@ def test_cut_references_stay_as_the_sql_has_them(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert {tuple(r) for r in QUERIES["pruned_pages"](spark, str(tmp_path)).collect()} == set(con.execute(ORACLES["pruned_pages"]).fetchall())
+
+
+def test_items_leave_a_few_pages_at_a_time():
+    pages = pd.Series(["<div itemscope><b itemprop=a>x</b></div>", None] * 500)
+    parts = list(microdata._items(iter([pages, pages.iloc[:0], pages.iloc[:1]])))
+    assert max(map(len, parts)) <= microdata.PAGES and sum(map(len, parts)) == 1001
+    assert [x for p in parts for x in p][:2] == [microdata.items_of(pages[0]), []]
