@@ -6,8 +6,8 @@ is, whether it changed, and whether the sitemap's time asks for a fetch. history
 
 Defined cases: fetches of one URL are taken in order of time (equal times by a hash of the row); a fetch older than the last one of its URL is
 stale: it is passed on without answers and changes nothing. Fetches later than the watermark or without a time are dropped. A variable counts
-up to its lifetime after the fetch that set it, and its room is given back when the watermark has passed that; a URL of which nothing is left
-begins anew. A null URL is a URL of its own; null content is empty."""
+up to its lifetime after the fetch that set it, and its room is given back when the watermark has passed that by an eighth of the shortest lifetime
+at most; a URL of which nothing is left begins anew. A null URL is a URL of its own; null content is empty."""
 
 from __future__ import annotations
 
@@ -49,89 +49,133 @@ def _prepared(fetches: DataFrame) -> DataFrame:
 
 
 class _UrlState(StatefulProcessor):
+    """URLs in buckets: a call for each bucket of a batch, which reads and writes the short variables of all of its URLs at once, and the bodies URL by URL.
+
+    In a batch's work a URL is [at, hash, whether validators are held, lastmod]: a fetch sets or clears all three variables, so they share its time."""
+
     def __init__(self, lives: Lifetimes) -> None:
-        self.lives = {"content": lives.content * 1_000_000, "validators": lives.validators * 1_000_000, "lastmod": lives.lastmod * 1_000_000}
+        self.content, self.validators, self.lastmod = (x * 1_000_000 for x in (lives.content, lives.validators, lives.lastmod))
+        self.step = max(1000, min(self.content, self.validators, self.lastmod) // 8000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = {
-            "content": handle.getValueState("content", "at long, hash string"),
-            "validators": handle.getValueState("validators", "at long, etag string, last_modified string, body string, hash string"),
-            "lastmod": handle.getValueState("lastmod", "at long, lastmod string"),
-        }
-        self.seen = handle.getValueState("seen", "at long, timer long")
+        self.known = handle.getValueState("content", "url array<string>, at array<long>, hash array<string>, held array<boolean>")
+        self.times = handle.getValueState("lastmod", "url array<string>, lastmod array<string>")
+        self.bodies = handle.getMapState("validators", "url string", "etag string, last_modified string, body string")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _read(self) -> dict:
+        held = self.known.get()
+        known = {u: [at, digest, has, None] for u, at, digest, has in zip(*held, strict=True)} if held else {}
+        times = self.times.get()
+        for url, lastmod in zip(*times, strict=True) if times else ():
+            known[url][3] = lastmod
+        return known
+
+    def _write(self, known: dict, timed: bool) -> None:
+        """timed: whether sitemaps' times were held before."""
+        if known:
+            self.known.update((list(known), *(list(x) for x in list(zip(*known.values(), strict=True))[:3])))
+        else:
+            self.known.clear()
+        times = [(u, v[3]) for u, v in known.items() if v[3] is not None]
+        if times:
+            self.times.update(tuple(list(x) for x in zip(*times, strict=True)))
+        elif timed:
+            self.times.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         parts = [p for p in rows if len(p)]
         if not parts:
             return
         got = pd.concat(parts).sort_values(["us", "tie"], kind="stable")
-        got = got.astype(object).where(got.notna(), None)
-        now = {name: var.get() if var.exists() else None for name, var in self.held.items()}
-        before = dict(now)
-        last, timer = self.seen.get() if self.seen.exists() else (None, None)
-        out = []
-        for r in got.itertuples(index=False):
-            at = int(r.us)
-            row = (r.url, r.ts, r.content_hash, r.content)
-            if last is not None and at < last:
-                out.append((*row, None, None, None, True))
+        text = got[["url", "etag", "last_modified", "lastmod", "content", "content_hash"]].astype(object)
+        text = text.where(text.notna(), None)
+        known = self._read()
+        timed = any(v[3] is not None for v in known.values())
+        read, bodies, touched, out = {}, {}, {}, []
+        for at, url, etag, modified, lastmod, content, digest in zip(got["us"].tolist(), *(text[c].tolist() for c in text.columns), strict=True):
+            old = known.get(url)
+            if old is not None and at < old[0]:
+                out.append((digest, content, None, None, None, True))
                 continue
-            last = at
-            fresh = {name: v if v is not None and at - v[0] <= self.lives[name] else None for name, v in now.items()}
-            old = fresh["validators"]
-            same = old is not None and (r.etag == old[1] if r.etag is not None else r.last_modified is not None and r.last_modified == old[2])
-            content, digest = (old[3], old[4]) if same else (r.content, r.content_hash)
-            changed = fresh["content"] is None or fresh["content"][1] != digest
-            fetch = r.lastmod is None or fresh["lastmod"] is None or fresh["lastmod"][1] != r.lastmod
-            out.append((r.url, r.ts, digest, content, changed, same, fetch, False))
-            now = {
-                "content": (at, digest),
-                "validators": (at, r.etag, r.last_modified, content, digest) if r.etag is not None or r.last_modified is not None else None,
-                "lastmod": (at, r.lastmod) if r.lastmod is not None else None,
-            }
-        for name, value in now.items():
-            if value is None and before[name] is not None:
-                self.held[name].clear()
-            elif value is not None and value != before[name]:
-                self.held[name].update(value)
-        self._wake(now, last, timer)
-        yield pd.DataFrame(out, columns=_COLUMNS)
-
-    def _wake(self, now: dict, last: int, timer: int | None) -> None:
-        """Sets the timer for the variable that ends first. A timer's time is in ms: the first after the lifetime's last microsecond."""
-        ends = [(v[0] + self.lives[name]) // 1000 + 1 for name, v in now.items() if v is not None]
-        nearest = min(ends) if ends else None
-        if nearest != timer:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            if nearest is not None:
-                self.handle.registerTimer(nearest)
-        if nearest is None:
-            self.seen.clear()
-        else:
-            self.seen.update((last, nearest))
+            gap = None if old is None else at - old[0]
+            valid, same = etag is not None or modified is not None, False
+            if valid and old is not None and old[2] and gap <= self.validators:
+                if url not in bodies:
+                    bodies[url] = read[url] = tuple(self.bodies.getValue((url,)))
+                was = bodies[url]
+                same = etag == was[0] if etag is not None else modified == was[1]
+                if same:
+                    content, digest = was[2], old[1]
+            changed = old is None or gap > self.content or old[1] != digest
+            fetch = lastmod is None or old is None or gap > self.lastmod or old[3] != lastmod
+            out.append((digest, content, changed, same, fetch, False))
+            touched.setdefault(url, old is not None and old[2])
+            known[url] = [at, digest, valid, lastmod]
+            bodies[url] = (etag, modified, content) if valid else None
+        for url, before in touched.items():
+            body = bodies[url]
+            if body is None and before:
+                self.bodies.removeKey((url,))
+            elif body is not None and body != read.get(url):
+                self.bodies.updateValue((url,), body)
+        if touched:
+            self._write(known, timed)
+            self._wake(min(self._ends(known[url])[0] for url in touched), self.timer.get())
+        yield pd.concat([got[["url", "ts"]].reset_index(drop=True), pd.DataFrame(out, columns=_COLUMNS[2:])], axis=1)
+
+    def _ends(self, held: list) -> list[int]:
+        """When the variables that are held end, in ms, the first one first: a timer's time is the first after the lifetime's last microsecond."""
+        at, digest, has, lastmod = held
+        lives = [(digest is not None, self.content), (has, self.validators), (lastmod is not None, self.lastmod)]
+        return sorted((at + life) // 1000 + 1 for there, life in lives if there)
+
+    def _wake(self, end: int, timer: tuple | None) -> None:
+        """The bucket's one timer rings at the first whole step at or behind the end that comes first."""
+        at = -(-end // self.step) * self.step
+        if timer is not None:
+            if timer[0] <= at:
+                return
+            self.handle.deleteTimer(timer[0])
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         passed = timerValues.getCurrentWatermarkInMs()
-        now = {name: var.get() if var.exists() else None for name, var in self.held.items()}
-        for name, value in now.items():
-            if value is not None and (value[0] + self.lives[name]) // 1000 + 1 <= passed:
-                self.held[name].clear()
-                now[name] = None
-        self._wake(now, self.seen.get()[0] if self.seen.exists() else 0, None)
+        known, left, nearest = self._read(), {}, None
+        timed = any(v[3] is not None for v in known.values())
+        for url, held in known.items():
+            at, digest, has, lastmod = held
+            content, validators, sitemap = ((at + life) // 1000 + 1 > passed for life in (self.content, self.validators, self.lastmod))
+            if has and not validators:
+                self.bodies.removeKey((url,))
+            has = has and validators
+            # The hash is that of the validators' body too.
+            held = [at, digest if content or has else None, has, lastmod if sitemap else None]
+            ends = [e for e in self._ends(held) if e > passed]
+            if ends:
+                left[url] = held
+                nearest = ends[0] if nearest is None else min(nearest, ends[0])
+        self.timer.clear()
+        self._write(left, timed)
+        if nearest is not None:
+            self._wake(nearest, None)
         yield from ()
 
     def close(self) -> None:
         pass
 
 
-def result_stream(fetches: DataFrame, lives: Lifetimes = Lifetimes(), late: str = "1 hour") -> DataFrame:
-    """A stream of fetches (url, ts, content; etag, last_modified and lastmod where known) as results, each answered from what is known of its URL."""
+def result_stream(fetches: DataFrame, lives: Lifetimes = Lifetimes(), late: str = "1 hour", buckets: int = 1024) -> DataFrame:
+    """A stream of fetches (url, ts, content; etag, last_modified and lastmod where known) as results, each answered from what is known of its URL.
+
+    The state is keyed by URL within buckets of URLs by hash, since a call of Spark's for each URL costs more than the work on it. A task holds one
+    bucket's rows of a batch; a stream keeps its number of buckets for good."""
     ship_package(fetches.sparkSession)
     use_state_store(fetches.sparkSession)
-    rows = _prepared(fetches).withWatermark("ts", late)
-    return rows.groupBy("url").transformWithStateInPandas(_UrlState(lives), _RESULT, "append", "eventTime")
+    rows = _prepared(fetches).withWatermark("ts", late).withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(buckets)))
+    return rows.groupBy("bucket").transformWithStateInPandas(_UrlState(lives), _RESULT, "append", "eventTime")
 
 
 def history(fetches: DataFrame, lives: Lifetimes = Lifetimes()) -> DataFrame:
