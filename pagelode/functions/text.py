@@ -78,7 +78,12 @@ def clean_lines(c: Column) -> Column:
 
 
 def without_fences(c: Column) -> Column:
-    """The body of a fenced answer, or the answer itself."""
+    """The body of a fenced answer, or the answer itself; one that begins and ends as JSON has neither fences nor white space to take off."""
+    bare = (c.startswith("{") & c.endswith("}")) | (c.startswith("[") & c.endswith("]"))
+    return F.when(bare, c).otherwise(_unfenced(c))
+
+
+def _unfenced(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(strip(c), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
 
 

@@ -17,6 +17,8 @@ from pagelode.functions.shipping import ship_package
 from pagelode.functions.text import let
 
 _ORIGIN = r"^(?i)(https?)://([^/?#\s]+)"
+#: URLs that are in normal form already, but for their length.
+_NORMAL = r"^https?://[a-z0-9._-]+/.*\z"
 
 
 def scheme(u: Column) -> Column:
@@ -38,7 +40,7 @@ def origin(u: Column) -> Column:
 
 def normal(u: Column) -> Column:
     """Normal form of an http or https URL of ASCII text, null for any other: lower-case scheme and host, no default port, a path."""
-    return let(u, _normal)
+    return let(u, lambda x: F.when(x.rlike(_NORMAL) & (F.length(x) <= 2083), x).otherwise(_normal(x)))
 
 
 def _normal(u: Column) -> Column:

@@ -15,27 +15,33 @@ from pyspark.sql import functions as F
 from pagelode import rules
 from pagelode.functions import urls
 from pagelode.functions.shipping import ship_package
-from pagelode.functions.text import chunk_lines, clean_lines, without_fences
-from pagelode.functions.values import anything, get, is_object, pick, schema_salary, text
+from pagelode.functions.text import chunk_lines, clean_lines, let, or_null, without_fences
+from pagelode.functions.values import get, is_object, kind_of, schema_salary, text
 
 Model = Callable[[list[str], int], list[tuple[str, bool]]]
 JOB = "struct<title:string,url:string,location:string,department:string,employment_type:string,description:string,requirements:array<string>,salary_range:string>"
+#: Jobs as an answer gives them, whatever its fields hold.
+_GIVEN = "array<struct<title:variant,url:variant,location:variant,department:variant,employment_type:variant,description:variant,requirements:variant,salary_range:variant>>"
 
 
 def jobs_of(answer: Column, bare: bool = False) -> Column:
     """Array of JOB of a strict JSON answer {"jobs": [...]}, or with `bare` of an array of jobs too; null if it isn't one."""
-    v = F.try_parse_json(without_fences(answer))
-    listed = F.coalesce(get(v, "$.jobs", "array<variant>"), get(v, "$", "array<variant>")) if bare else get(v, "$.jobs", "array<variant>")
+    # Only what begins as an object or array can have jobs; a failed parse of plain text costs more than a whole one.
+    body = without_fences(answer)
+    v = F.try_parse_json(F.when(body.startswith("{") | body.startswith("["), body))
+    listed = F.coalesce(get(v, "$.jobs", _GIVEN), get(v, "$", _GIVEN)) if bare else get(v, "$.jobs", _GIVEN)
 
     def row(x: Column) -> Column:
-        wanted = F.filter(get(x, "$.requirements", "array<string>"), lambda r: F.coalesce(r != "", F.lit(False)))
-        part = lambda k: text(get(x, f"$.{k}")).alias(k)
+        wanted = F.filter(get(x["requirements"], "$", "array<string>"), lambda r: F.coalesce(r != "", F.lit(False)))
+        said = lambda k: F.when(kind_of(x[k]) == "STRING", get(x[k], "$", "string"))
+        part = lambda k: said(k).alias(k)
         return F.struct(
-            text(pick(x, "title")).alias("title"), urls.normal(anything(pick(x, "url"))).alias("url"), part("location"), part("department"), part("employment_type"), part("description"),
+            or_null(said("title")).alias("title"), urls.normal(said("url")).alias("url"), part("location"), part("department"), part("employment_type"), part("description"),
             F.coalesce(wanted, F.array().cast("array<string>")).alias("requirements"), part("salary_range"),
         )
 
-    found = F.transform(F.filter(listed, lambda x: is_object(x)), lambda x: row(x))
+    # What is no object is null here: it has no title, so it goes with the jobs that have none.
+    found = F.transform(listed, lambda x: row(x))
     return F.filter(found, lambda j: j["title"].isNotNull() & j["url"].isNotNull()).cast(f"array<{JOB}>")
 
 
@@ -135,12 +141,14 @@ def model_listings(answers: DataFrame) -> DataFrame:
     decoded = with_decoded(answers.withColumn("answer", F.when(~F.col("cut_off"), F.col("answer"))))
     per = decoded.groupBy("url").agg(
         F.max_by("parse_status", severity(F.col("parse_status"))).alias("worst"), F.max((~F.col("cut_off")).cast("int")).alias("whole"),
-        F.array_sort(F.collect_list(F.struct("chunk", "jobs"))).alias("parts"),
+        F.sort_array(F.collect_list(F.struct("chunk", "jobs"))).alias("parts"),
     )
-    every = F.flatten(F.transform("parts", lambda p: p["jobs"]))
-    names = F.transform(every, lambda j: j["url"])
-    once = F.filter(every, lambda j, i: F.array_position(names, j["url"]) == i + 1)
-    return per.select("url", F.when(F.col("whole") == 0, "truncated").otherwise(F.col("worst")).alias("parse_status"), once.alias("jobs"))
+
+    def once(every: Column) -> Column:
+        return let(F.transform(every, lambda j: j["url"]), lambda names: F.filter(every, lambda j, i: F.array_position(names, j["url"]) == i + 1))
+
+    first = let(F.flatten(F.transform("parts", lambda p: p["jobs"])), once)
+    return per.select("url", F.when(F.col("whole") == 0, "truncated").otherwise(F.col("worst")).alias("parse_status"), first.alias("jobs"))
 
 
 def pipeline_first(*tiers: Column) -> Column:

@@ -4,9 +4,11 @@ import json
 import random
 import re
 
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from pagelode.operators import answers
+from pagelode.functions import text, urls
+from pagelode.operators import answers, model_output
 
 PLACE = StructType([StructField("city", StringType(), False, {"pattern": "^[A-Z]"}), StructField("codes", ArrayType(LongType(), False), True, {"minimum": 1, "maximum": 2})])
 SCHEMA = StructType(
@@ -103,3 +105,34 @@ def test_answers_that_are_no_items(spark):
     frame = spark.createDataFrame([(1, None), (2, ""), (3, "no"), (4, "3"), (5, '"x"'), (6, "[]"), (7, '{"items":[]}'), (8, '{"items":3}'), (9, "[null]"), (10, '{"title":"A"}')], "k int, answer string")
     got = {r["k"]: (r["violation"], None if r["rows"] is None else len(r["rows"])) for r in answers.checked(frame, SCHEMA).collect()}
     assert got == {1: ("$", None), 2: ("$", None), 3: ("$", None), 4: ("$", None), 5: ("$", None), 6: (None, 0), 7: (None, 0), 8: ("$[0].title", None), 9: ("$[0]", None), 10: (None, 1)}
+
+
+def test_jobs_are_read_without_writing_json_and_stay_the_same(spark):
+    odd = [
+        '{"jobs":[{"title":"a","url":"https://j.example/1","location":"x","requirements":["r","",null]}]}', '```json\n{"jobs":[{"title":"a","url":"HTTPS://J.example:443"}]}\n```', '\u00a0{"jobs":[]}\n',
+        '{"jobs":[1,null,"x",[{"title":"a"}],{"title":"","url":"https://j.example/"},{"title":5,"url":"https://j.example/"},{"title":"b","url":7},{"title":"c","url":["https://j.example/"]}]}',
+        '{"jobs":[{"title":"a","url":"https://j.example/","location":3,"department":null,"description":{"x":1},"requirements":"r","salary_range":"s"}]}',
+        '[{"title":"a","url":"https://j.example/"}]', '{"jobs":{"title":"a"}}', '{"jobs":null}', '{"jobs":[', "none", "3", '"x"', "", None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(odd)), "k int, a string")
+    got = rows.select("k", model_output.jobs_of(F.col("a")).alias("j"))
+    row = lambda title, url, location=None, requirements=(), salary=None: (title, url, location, None, None, None, list(requirements), salary)
+    want = {0: [row("a", "https://j.example/1", "x", ["r"])], 1: [row("a", "https://j.example/")], 2: [], 3: [], 4: [row("a", "https://j.example/", None, (), "s")]}
+    assert {r["k"]: None if r["j"] is None else [tuple(x) for x in r["j"]] for r in got.collect()} == {k: want.get(k) for k in range(len(odd))}
+    assert "StructsToJson" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_short_ways_say_the_same(spark):
+    given = ["{}", "[]", "{}\n", " {}", "{```", "```{}```", "```json\n[1]\n```", "{]", "{", "[", "", "x", None, "{\u00a0}", "```json {}"]
+    given += [f"{s}://{h}{r}" for s in ("http", "https", "HTTP", "ftp") for h in ("a.b", "A.b", "a:80", "a:443", "a b", "", "a_b-c.d") for r in ("", "/", "/x?y#z", "?q", "/x\ny", "/x\n", "/x y", "/" + "x" * 2100, "/\u2028", "/\u00e9")]
+    rows = spark.createDataFrame([(g,) for g in given], "c string")
+    c = F.col("c")
+    wrong = rows.where(~text.without_fences(c).eqNullSafe(text._unfenced(c)) | ~urls.normal(c).eqNullSafe(urls._normal(c)))
+    assert wrong.collect() == []
+
+
+def test_the_first_of_equal_urls_stays_across_chunks(spark):
+    jobs = lambda *k: json.dumps({"jobs": [{"title": f"{t}", "url": f"https://j.example/{u}"} for t, u in k]})
+    rows = spark.createDataFrame([("p", 1, jobs(("c", 2), ("d", 1)), False), ("p", 0, jobs(("a", 1), ("b", 1)), False), ("q", 0, "none", True), ("r", 0, "none", False)], "url string, chunk int, answer string, cut_off boolean")
+    got = {r["url"]: (r["parse_status"], [j["title"] for j in r["jobs"]]) for r in model_output.model_listings(rows).collect()}
+    assert got == {"p": ("clean", ["a", "c"]), "q": ("truncated", []), "r": ("failed", [])}
